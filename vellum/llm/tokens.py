@@ -1,8 +1,11 @@
-"""Token ids of whole texts by the tokenizers library, with the words' ids remembered.
-
-A byte-level BPE splits a text into pieces before it merges, and a single space between two other characters always opens
-a piece. So a text may be encoded word by word at such spaces, and words repeat: each worker encodes a word once and
-remembers its ids. The memory is bounded (``CACHE_WORDS`` words of at most ``CACHE_CHARS`` characters; when full it starts anew).
+"""Token ids of whole texts by the tokenizers library, with the ids of words remembered.
+
+A byte-level BPE cuts a text into pieces by a pattern before it merges. Some piece borders show in the bytes: before the last
+space of a run that something visible follows, before a line end between visible characters, before a full stop or comma behind
+a letter or digit. Between two such borders a chunk's ids don't depend on its surroundings, and chunks repeat; so a worker
+finds chunks and their hashes with array operations, has the library encode those it hasn't seen, and looks up
+the rest. Where a border is uncertain (beside characters that may be white space beyond ASCII) none is assumed. The memory is bounded by
+``CACHE_CHUNKS`` chunks; when it is full, it starts anew from what the present texts need.
 """
 
 from __future__ import annotations
@@ -13,14 +16,13 @@ import re
 import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Bounds of a worker's memory of words; they change speed only.
-CACHE_WORDS, CACHE_CHARS = 600_000, 64
-#: Words not yet known that are encoded by one call.
-CALL_WORDS = 2048
+#: Chunks remembered (a bound of memory and speed only) and slots of their table, which a part more must fit in; chunks encoded by one call.
+CACHE_CHUNKS, SLOTS, CALL_CHUNKS = 600_000, 1 << 21, 2048
+#: Bytes of text handled at once.
+PART_BYTES = 2 << 20
 
-#: A space between two characters that aren't white space.
+_U = np.uint64
 _SPACE = re.compile(r"\s")
-_BOUNDARY = re.compile(r"(?<=\S)(?= \S)")
 _encoders: dict[str, "Encoder"] = {}
 
 
@@ -36,8 +38,45 @@ def encoder(path: str) -> "Encoder":
     return _encoders[path]
 
 
+def _is(*parts: bytes) -> np.ndarray:
+    out = np.zeros(256, bool)
+    out[list(b"".join(parts))] = True
+    return out
+
+
+_ALNUM = _is(bytes(range(48, 58)), bytes(range(65, 91)), bytes(range(97, 123)))
+_SEEN = _is(bytes(range(33, 127)))  # visible ASCII
+_NEXT = _SEEN | (np.arange(256) >= 0xC3) & ~np.isin(np.arange(256), (0xE1, 0xE2, 0xE3))  # begins a character that is no white space
+_MARK = _is(b".,")
+
+
+def _random(n: int, seed: int) -> np.ndarray:
+    x = np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed)
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+_BYTE = _random(256, 1), _random(256, 2)
+
+
+def chunk_starts(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """First bytes of chunks; docs: first bytes of documents that aren't empty."""
+    cut = np.zeros(len(data), bool)
+    before, here, after = data[:-2], data[1:-1], data[2:]
+    cut[1:-1] = (here == 32) & _NEXT[after] | (here == 10) & _SEEN[before] & _NEXT[after]
+    letter = _ALNUM[data]
+    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    cut[1:] |= _MARK[data[1:]] & letter[:-1]
+    # Nothing is known of what is beside a document's ends.
+    first = docs[docs + 1 < len(data)]
+    cut[first[1:] - 1] &= _MARK[data[first[1:] - 1]]
+    cut[docs] = True
+    return np.flatnonzero(cut)
+
+
 class Encoder:
-    """encode(text) -> ids as numpy uint32, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
+    """encode_batch(texts) -> ids as numpy uint32, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,51 +88,128 @@ class Encoder:
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
-        self.known: dict[str, bytes] = {}  # ids of a space and the word
-
-    def _raw(self, words: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(words), CALL_WORDS):
-            out += [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(words[at : at + CALL_WORDS], add_special_tokens=False)]
+        self.power = [_random(64, 3) | _U(1), _random(64, 4) | _U(1)]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots = np.full(SLOTS, -1, np.int32)
+        self.keys = self.checks = np.zeros(1, _U)  # the first place stands for none
+        self.at = self.size = np.zeros(1, np.int64)
+        self.pool = np.zeros(0, self.kind)
+
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        longest = int(sizes.max())
+        if len(self.power[0]) < longest:
+            self.power = [_random(2 * longest, 3) | _U(1), _random(2 * longest, 4) | _U(1)]
+        place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, sizes)
+        return [np.add.reduceat(b[data] * p[place], starts) ^ sizes.astype(_U) * _U(0x9E3779B97F4A7C15) for b, p in zip(_BYTE, self.power, strict=True)]
+
+    def _raw(self, chunks: list[str]) -> list[np.ndarray]:
+        out: list[np.ndarray] = []
+        for at in range(0, len(chunks), CALL_CHUNKS):
+            out += [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(chunks[at : at + CALL_CHUNKS], add_special_tokens=False)]
         return out
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Of words without white space, each behind a space: encoded as lines of one text, as a line end before a space is a piece."""
-        out: list[bytes] = []
-        for at in range(0, len(words), CALL_WORDS):
-            some = words[at : at + CALL_WORDS]
-            ids = np.array(self.tokenizer.encode(" " + "\n ".join(some), add_special_tokens=False).ids, self.kind)
+    def _encode(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the chunks, joined, and how many each has. Words behind a space are encoded as lines of one text: a line end between a visible character and a space is a piece of its own."""
+        lone = np.array([not (c[0] == " " and len(c) > 1 and not _SPACE.search(c, 1)) for c in chunks])
+        sizes = np.zeros(len(chunks), np.int64)
+        parts: list[np.ndarray] = []
+        plain = np.flatnonzero(~lone)
+        order: list[np.ndarray] = []
+        for i in range(0, len(plain), CALL_CHUNKS):
+            some = plain[i : i + CALL_CHUNKS]
+            ids = np.array(self.tokenizer.encode("\n".join([chunks[j] for j in some]), add_special_tokens=False).ids, self.kind)
             ends = np.flatnonzero(ids == self.line_end)
             if len(ends) != len(some) - 1:
-                out += self._raw([" " + w for w in some])
+                lone[some] = True
                 continue
-            data, size = ids.tobytes(), ids.itemsize
-            ends = [*(ends * size).tolist(), len(data)]
-            out += [data[a:b] for a, b in zip([0, *(e + size for e in ends)], ends)]  # noqa: B905
-        return out
+            sizes[some] = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
+            parts.append(ids[ids != self.line_end])
+            order.append(some)
+        rest = np.flatnonzero(lone)
+        made = self._raw([chunks[j] for j in rest])
+        sizes[rest] = [len(m) for m in made]
+        flat = np.concatenate([*parts, *made]) if parts or made else np.zeros(0, self.kind)
+        order = np.concatenate([*order, rest])
+        starts = np.zeros(len(chunks), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return self._gather(flat, starts, sizes), sizes
+
+    @staticmethod
+    def _gather(pool: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return pool[np.arange(int(size.sum())) + np.repeat(at - (np.cumsum(size) - size), size)]
+
+    def _find(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the chunks, and which are known: open addressing, a step at a time for those still looking."""
+        out = np.full(len(keys), -1, np.int64)
+        looking, slot = np.arange(len(keys)), keys & _U(SLOTS - 1)
+        while len(looking):
+            i = self.slots[slot]
+            hit = (i >= 0) & (self.keys[i] == keys[looking])
+            out[looking[hit]] = i[hit]
+            on = (i >= 0) & ~hit
+            looking, slot = looking[on], (slot[on] + _U(1)) & _U(SLOTS - 1)
+        found = out >= 0
+        out[~found] = 0
+        found &= self.checks[out] == checks
+        return out, found
+
+    def _learn(self, blob: bytes, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
+        ids, n = self._encode([blob[a : a + b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), sizes.tolist(), strict=True)])
+        at = len(self.pool) + np.cumsum(n) - n
+        self.pool = np.concatenate([self.pool, ids])
+        new = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
+        self.keys, self.checks, self.at, self.size = (np.concatenate(x) for x in ((self.keys, keys), (self.checks, checks), (self.at, at), (self.size, n)))
+        slot = keys & _U(SLOTS - 1)
+        while len(new):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = new[free]  # of several that want a slot, one gets it
+            out = self.slots[slot] != new
+            new, slot = new[out], (slot[out] + _U(1)) & _U(SLOTS - 1)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        firsts, rests = [], []
+        out: list[np.ndarray] = []
+        held: list[bytes] = []
+        size = 0
         for text in texts:
-            if "  " in text or text[:1] == " " or text[-1:] == " ":
-                first, *rest = _BOUNDARY.split(text)
-                rests.append([w[1:] for w in rest])
-            else:
-                first, *rest = text.split(" ")
-                rests.append(rest)
-            firsts.append(first)
-        used: set[str] = set()
-        for rest in rests:
-            used.update(rest)
-        known = self.known
-        new = list(used.difference(known))
-        odd = [w for w in new if not w or _SPACE.search(w)] if _SPACE.search("".join(new)) or "" in used else []
-        if odd:
-            known.update(zip(odd, self._raw([" " + w for w in odd]), strict=True))
-            skip = set(odd)
-            new = [w for w in new if w not in skip]
-        known.update(zip(new, self._spaced(new), strict=True))
-        joined = [first + b"".join([known[w] for w in rest]) for first, rest in zip(self._raw(firsts), rests, strict=True)]
-        if len(known) > CACHE_WORDS:  # what this batch used stays, as far as it fits
-            self.known = {w: known[w] for w in used if len(w) <= CACHE_CHARS} if len(used) < CACHE_WORDS // 2 else {}
-        return [np.frombuffer(b, self.kind).astype(np.uint32) for b in joined]
+            held.append(text.encode("utf-8", "surrogatepass"))
+            size += len(held[-1])
+            if size >= PART_BYTES:
+                out += self._encode_part(held)
+                held, size = [], 0
+        return out + self._encode_part(held)
+
+    def _encode_part(self, texts: list[bytes]) -> list[np.ndarray]:
+        lengths = np.array([len(t) for t in texts], np.int64)
+        blob = b"".join(texts)
+        if not blob:
+            return [np.zeros(0, np.uint32) for _ in texts]
+        data = np.frombuffer(blob, np.uint8)
+        docs = (np.cumsum(lengths) - lengths)[lengths > 0]
+        starts = chunk_starts(data, docs)
+        sizes = np.diff(np.append(starts, len(data)))
+        keys, checks = self._hashes(data, starts, sizes)
+        i, found = self._find(keys, checks)
+        if not found.all():
+            if len(self.keys) > CACHE_CHUNKS or len(self.keys) + len(keys) > SLOTS // 2:
+                self._forget()
+                found[:] = False
+            new, first = np.unique(keys[~found], return_index=True)
+            first = np.flatnonzero(~found)[first]
+            self._learn(blob, starts[first], sizes[first], new, checks[first])
+            i, found = self._find(keys, checks)
+        at, n = self.at[i], self.size[i]
+        if not found.all():  # equal keys of different chunks
+            odd = np.flatnonzero(~found)
+            ids, m = self._encode([blob[starts[j] : starts[j] + sizes[j]].decode("utf-8", "surrogatepass") for j in odd])
+            n = n.copy()
+            at = at.copy()
+            at[odd], n[odd] = len(self.pool) + np.cumsum(m) - m, m
+            ids = self._gather(np.concatenate([self.pool, ids]), at, n)
+        else:
+            ids = self._gather(self.pool, at, n)
+        ends = np.cumsum(n)
+        cuts = np.searchsorted(starts, np.cumsum(lengths))
+        marks = np.where(cuts > 0, ends[np.maximum(cuts, 1) - 1], 0)
+        return np.split(ids.astype(np.uint32), marks[:-1]) if len(marks) else []
