@@ -7,9 +7,10 @@ before. A scheme's sketch has D + 1 + E words: an element XORs its hash into the
 of two sketches differ in at most as many places as the sets differ (D at most), and at least E + 1 words are equal. Equal
 words are found by one shuffle of (word, set). What an equal word proves is weak where the word is empty or shared by very many sets:
 
-* Empty words aren't sent while at most E // 2 words of a set are empty; a set with more is sketched again with another seed, at
-  last with its empty words. A pair is lost only where both have more, and then both have the next seed.
-* A word that more than ``HOT`` sets share is hot. A pair with at most E - E // 2 hot words on either side still has an equal
+* Empty words aren't sent while at most 0.7 E words of a set are empty; a set with more is sketched again with another seed, at
+  last with its empty words. A pair is lost only where both have more, and then both have the next seed. So a pair
+  shares at least 0.3 E + 1 words that were sent, and a set that shares fewer with anyone is dropped from the scheme.
+* A word that more than ``HOT`` sets share is hot. A pair with at most 0.3 E hot words on either side still has an equal
   word that isn't hot, so hot words count only between sets that both have more: these are large groups of near copies, whose
   members link to the group's first member, one link each.
 
@@ -23,23 +24,24 @@ shingle; repeated rows are equal sets; a null key takes part and never names a c
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import ARROW_ROWS, materialize, small_batches
 from vellum.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
+#: Turns of stars after the first.
+STARS = 4
 #: Sets that share a word before it counts as hot; seeds; growth of size bands; bits of the parity sketch of the check; ids sent to all tasks at most.
-HOT, SEEDS, BAND, SKETCH_BITS, SENT_IDS = 32, 3, 1.5, 1024, 1_000_000
+HOT, SEEDS, BAND, SKETCH_BITS, SENT_IDS = 32, 3, 1.4, 1024, 1_000_000
 
-LOWER = {i: i + 32 for i in range(65, 91)}
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Bytes of text handled at once.
+PART_BYTES = 2 << 20
 _U = np.uint64
 
 
@@ -60,30 +62,63 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+_LOW = np.arange(256, dtype=np.uint8)
+_LOW[65:91] += 32
+
+
 def shingle_hashes(text: str, k: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's word k-shingles."""
-    data = np.frombuffer(text.translate(LOWER).encode("utf-8", "surrogatepass"), np.uint8)
+    return shingle_sets([text], k)[0]
+
+
+def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
+    """The sets of many texts, a few MB of text at a time."""
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    size = 0
+    for text in texts:
+        held.append((text or "").encode("utf-8", "surrogatepass"))
+        size += len(held[-1])
+        if size >= PART_BYTES:
+            out += _sets_of(held, k)
+            held, size = [], 0
+    return out + _sets_of(held, k)
+
+
+def _sets_of(texts: list[bytes], k: int) -> list[np.ndarray]:
+    data = _LOW[np.frombuffer(b" ".join([*texts, b""]), np.uint8)]
+    lengths = np.array([len(t) + 1 for t in texts], np.int64)
     inside = ~_IS_SPACE[data]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
+    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(data) and inside[0]:
+        edge = np.concatenate([[0], edge])
     starts, ends = edge[::2], edge[1::2]
     if not len(starts):
-        return np.zeros(0, _U)
+        return [np.zeros(0, _U) for _ in texts]
     size = ends - starts
     while len(_PLACE[0]) < size.max():
         _PLACE[0] = _rule(2 * len(_PLACE[0]), 2) | _U(1)
     first = np.cumsum(size) - size
     place = np.arange(int(size.sum())) - np.repeat(first, size)
     words = mix(np.add.reduceat(_BYTE[data[inside]] * _PLACE[0][place], first) + size.astype(_U))
-    width = min(k, len(words))
+    until = np.searchsorted(starts, np.cumsum(lengths))
+    whole = _joined(words, k) if len(words) >= k else words[:0]
+    out, low = [], 0
+    for high in until.tolist():
+        n = high - low
+        rows = whole[low : high - k + 1] if n >= k else _joined(words[low:high], n) if n else words[:0]
+        rows = np.sort(rows)
+        out.append(rows[np.concatenate([[True], rows[1:] != rows[:-1]])] if len(rows) > 1 else rows)
+        low = high
+    return out
+
+
+def _joined(words: np.ndarray, width: int) -> np.ndarray:
     rows = len(words) - width + 1
     total = np.full(rows, _U(width))
     for j in range(width):
-        total += words[j : j + rows] * _STEP[j % 16] if j < 16 else mix(words[j : j + rows] + _U(j))
-    return np.unique(mix(total))
-
-
-def shingle_sets(texts: list[str | None], k: int) -> list[np.ndarray]:
-    return [shingle_hashes(t or "", k) for t in texts]
+        total += words[j : j + rows] * _STEP[j] if j < 16 else mix(words[j : j + rows] + _U(j))
+    return mix(total)
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -117,6 +152,10 @@ class Bands:
     def spare(self, band: int) -> int:
         return self.differ(band) // 5 + 1
 
+    def empty(self, band: int) -> int:
+        """Words of a set that may be empty before it is sketched with the next seed, too."""
+        return 7 * self.spare(band) // 10
+
     def schemes(self, n: int) -> list[int]:
         band = self.of(n)
         return [band, band - 1] if band and n * self.percent <= self.high(band - 1) * 100 else [band]
@@ -131,14 +170,14 @@ def sketch_words(hashes: np.ndarray, bands: Bands) -> np.ndarray:
         for seed in range(SEEDS):
             scheme = band * SEEDS + seed
             at = ((mix(hashes + _U(scheme * 1_000_003 + 11)) >> _U(32)) * _U(places) >> _U(32)).astype(np.int64)
-            order = np.argsort(at, kind="stable")
-            first = np.flatnonzero(np.diff(at[order], prepend=-1))
-            filled = at[order][first]
-            words = np.bitwise_xor.reduceat(hashes[order], first)
-            last = len(filled) >= places - spare // 2
-            if not last and seed == SEEDS - 1:
-                empty = np.setdiff1d(np.arange(places), filled)
-                filled, words = np.concatenate([filled, empty]), np.concatenate([words, np.zeros(len(empty), _U)])
+            words = np.zeros(places, _U)
+            np.bitwise_xor.at(words, at, hashes)
+            filled = np.flatnonzero(np.bincount(at, minlength=places))
+            last = len(filled) >= places - bands.empty(band)
+            if last or seed < SEEDS - 1:
+                words = words[filled]
+            else:
+                filled = np.arange(places)
             key = mix(words + mix(filled.astype(_U) + _U(scheme << 32)))
             out.append((key >> _U(8)) | (_U(scheme) << _U(56)))
             if last:
@@ -178,29 +217,36 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for text in batch.column(1).to_pylist():
-                hashes = shingle_hashes(text or "", k)
+            keys, owners = [], []
+            for hashes in shingle_sets(batch.column(1).to_pylist(), k):
                 sid = set_id(hashes)
                 if not len(hashes) or sid in seen:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(sid)
-                w = sketch_words(hashes, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(w.astype(np.int64)), pa.array(np.full(len(w), sid, np.int64))], names=["word", "sid"])
+                keys.append(sketch_words(hashes, bands))
+                owners.append(np.full(len(keys[-1]), sid, np.int64))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(owners))], names=["word", "sid"])
 
     ids = materialize(narrow.mapInArrow(sets, "doc_id long, n long, sid long"), "jaccard-sets")
-    shared = narrow.mapInArrow(joined_batches(words), "word long, sid long").repartition("word").sortWithinPartitions("word", "sid")
+    shared = narrow.mapInArrow(words, "word long, sid long").repartition("word").sortWithinPartitions("word", "sid")
     stars = materialize(shared.mapInArrow(star_groups, "word long, first long, sid long, hot boolean"), "jaccard-stars")
 
-    # Hot words count between sets that have many of them in a scheme.
+    # Sets that are linked share at least E + 1 words in a scheme, of which only as many are missing as may be empty; a set
+    # with fewer shared words has no link there. Hot words count between sets that have many of them.
     scheme = F.shiftrightunsigned("word", 56).cast("int")
-    most = [b for band in range(39) for b in [bands.spare(band) - bands.spare(band) // 2] * SEEDS]
-    hot = stars.where("hot").withColumn("scheme", scheme)
-    hot = hot.select("word", "sid", "scheme").union(hot.select("word", F.col("first").alias("sid"), "scheme").distinct())
-    heavy = hot.groupBy("sid", "scheme").agg(F.count("*").alias("n")).where(F.col("n") > F.element_at(F.array(*map(F.lit, most)), F.col("scheme") + 1)).select("sid", "scheme")
-    kept = hot.join(heavy, ["sid", "scheme"]).select("word", "sid")
-    cool = stars.where("not hot")
-    members = materialize(cool.select("word", "sid").union(cool.select("word", F.col("first").alias("sid")).distinct()).union(kept), "jaccard-members")
+    places = [x for band in range(39) for x in [bands.differ(band) + 1 + bands.spare(band) - bands.empty(band)] * SEEDS]
+    most = [x for band in range(39) for x in [bands.spare(band) - bands.empty(band)] * SEEDS]
+    of = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("scheme") + 1)
+    shares = materialize(stars.select("word", "sid", "hot").union(stars.groupBy("word").agg(F.first("first").alias("sid"), F.first("hot").alias("hot")).select("word", "sid", "hot")), "jaccard-shares")
+    counts = shares.groupBy("sid", scheme.alias("scheme")).agg(F.count("*").alias("n"), F.sum(F.col("hot").cast("int")).alias("h"))
+    sizes = ids.where("n > 0").groupBy("sid").agg(F.max("n").alias("size"))
+    # No partner differs in more than this from a set of its size, so at least so many words are shared.
+    differ = F.floor((F.col("size") + F.floor(F.col("size") * 100 / percent)) * (100 - percent) / (100 + percent))
+    counts = counts.join(sizes, "sid").withColumn("need", F.greatest(of(places) - differ, F.lit(1)))
+    good = materialize(counts.where("n >= need").select("sid", "scheme", "size", (F.col("n") - F.col("need") + 1).alias("prefix"), (F.col("h") > of(most)).alias("heavy")), "jaccard-good")
+    members = materialize(shares.withColumn("scheme", scheme).join(good, ["sid", "scheme"]).where("heavy or not hot").select("word", "sid", "size", "prefix"), "jaccard-members")
     firsts = members.groupBy("word").agg(F.min("sid").alias("first"), F.max("sid").alias("other")).where("first <> other").select("word", "first")
     pairs = materialize(members.join(firsts, "word").where("sid <> first").groupBy("first", "sid").agg(F.count("*").alias("shared")), "jaccard-pairs")
 
@@ -220,24 +266,43 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
         return full.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
-    sizes = chosen.select("sid", "n")
     best = pairs.groupBy("sid").agg(F.max_by("first", F.struct("shared", -F.col("first").cast("decimal(20,0)"))).alias("first"))
-    links = materialize(verify(best.select(F.col("first").alias("a"), F.col("sid").alias("b"))), "jaccard-links")
-    labels = materialize(components(links), "jaccard-labels")
-    rest = between(pairs.select(F.col("first").alias("a"), F.col("sid").alias("b")), labels).join(best.select(F.col("first").alias("a"), F.col("sid").alias("b")), ["a", "b"], "left_anti")
-    links = materialize(links.union(verify(rest)), "jaccard-links")
+    done = materialize(best.select(F.least("first", "sid").alias("a"), F.greatest("first", "sid").alias("b")), "jaccard-tried")
+    links = materialize(verify(done), "jaccard-links")
     labels = materialize(components(links), "jaccard-labels")
 
-    # Pairs of a group in different components. Each has an end outside the group's largest component.
-    named = members.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    counted = named.groupBy("word", "label").agg(F.count("*").alias("n"))
-    mixed = counted.groupBy("word").agg(F.max_by("label", "n").alias("main"), F.count("*").alias("labels")).where("labels > 1").select("word", "main")
-    open_ = materialize(named.join(mixed, "word").join(sizes, "sid"), "jaccard-open")
-    out = open_.where("label <> main").select("word", F.col("sid").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
-    other = open_.select("word", F.col("sid").alias("y"), F.col("label").alias("ly"), F.col("n").alias("ny"), "main")
+    def still_open() -> DataFrame:
+        """Members of words that sets of several components share: (word, sid, size, prefix, label, main), main the label of most."""
+        named = members.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+        counted = named.groupBy("word", "label").agg(F.count("*").alias("n"))
+        mixed = counted.groupBy("word").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("word", "main")
+        return named.join(mixed, "word")
+
+    # Stars again, each time with another member of the word's largest component in the middle.
+    for turn in range(STARS):
+        open_ = materialize(still_open(), "jaccard-open")
+        middle = open_.where("label = main").groupBy("word").agg(F.min_by("sid", F.xxhash64("sid", F.lit(turn))).alias("m"))
+        tries = open_.where("label <> main").join(middle, "word").groupBy("sid", "m").agg(F.count("*").alias("shared"))
+        tries = tries.groupBy("sid").agg(F.max_by("m", F.struct("shared", F.xxhash64("m"))).alias("m")).select(F.least("sid", "m").alias("a"), F.greatest("sid", "m").alias("b"))
+        tries = materialize(tries.join(done, ["a", "b"], "left_anti").distinct(), "jaccard-tries")
+        found = materialize(verify(tries), "jaccard-found")
+        done = done.union(tries)
+        if found.isEmpty():
+            break
+        links = links.union(found)
+        labels = materialize(components(links), "jaccard-labels")
+
+    # Pairs of a word in different components. Each has an end outside the word's largest component. Words are in order of how
+    # many sets share them: of sets with enough words in common, one stands in both prefixes.
+    open_ = still_open()
+    ranked = open_.join(open_.groupBy("word").agg(F.count("*").alias("many")), "word")
+    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("sid", scheme).orderBy("many", "word"))).where("nth <= prefix")
+    ranked = materialize(ranked.select("word", "sid", "size", "label", "main"), "jaccard-prefixes")
+    out = ranked.where("label <> main").select("word", F.col("sid").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"))
+    other = ranked.select("word", F.col("sid").alias("y"), F.col("label").alias("ly"), F.col("size").alias("ny"), "main")
     near = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y")))
     last = out.join(other, "word").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    last = last.join(pairs.select(F.least("first", "sid").alias("a"), F.greatest("first", "sid").alias("b")), ["a", "b"], "left_anti")
+    last = materialize(last.join(done, ["a", "b"], "left_anti"), "jaccard-last")
     links = materialize(links.union(verify(last)), "jaccard-links")
     labels = components(links).withColumnRenamed("v", "sid")
 
