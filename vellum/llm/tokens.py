@@ -17,7 +17,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Chunks remembered (a bound of memory and speed only) and slots of their table, which a part more must fit in; chunks encoded by one call.
-CACHE_CHUNKS, SLOTS, CALL_CHUNKS = 600_000, 1 << 21, 2048
+CACHE_CHUNKS, SLOTS, CALL_CHUNKS = 1_400_000, 1 << 22, 2048
 #: Bytes of text handled at once.
 PART_BYTES = 2 << 20
 
@@ -93,9 +93,11 @@ class Encoder:
 
     def _forget(self) -> None:
         self.slots = np.full(SLOTS, -1, np.int32)
-        self.keys = self.checks = np.zeros(1, _U)  # the first place stands for none
-        self.at = self.size = np.zeros(1, np.int64)
-        self.pool = np.zeros(0, self.kind)
+        # Room for all that may come; pages that aren't used take no memory. The first place stands for none.
+        self.n, self.used = 1, 0
+        self.keys, self.checks = np.zeros(SLOTS // 2 + 1, _U), np.zeros(SLOTS // 2 + 1, _U)
+        self.at, self.size = np.zeros(SLOTS // 2 + 1, np.int64), np.zeros(SLOTS // 2 + 1, np.int32)
+        self.pool = np.zeros(1 << 20, self.kind)
 
     def _hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         longest = int(sizes.max())
@@ -157,10 +159,13 @@ class Encoder:
 
     def _learn(self, blob: bytes, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, checks: np.ndarray) -> None:
         ids, n = self._encode([blob[a : a + b].decode("utf-8", "surrogatepass") for a, b in zip(starts.tolist(), sizes.tolist(), strict=True)])
-        at = len(self.pool) + np.cumsum(n) - n
-        self.pool = np.concatenate([self.pool, ids])
-        new = np.arange(len(self.keys), len(self.keys) + len(keys), dtype=np.int32)
-        self.keys, self.checks, self.at, self.size = (np.concatenate(x) for x in ((self.keys, keys), (self.checks, checks), (self.at, at), (self.size, n)))
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) + len(ids), self.kind)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        new = np.arange(self.n, self.n + len(keys), dtype=np.int32)
+        for room, values in ((self.keys, keys), (self.checks, checks), (self.at, self.used + np.cumsum(n) - n), (self.size, n)):
+            room[self.n : self.n + len(keys)] = values
+        self.n, self.used = self.n + len(keys), self.used + len(ids)
         slot = keys & _U(SLOTS - 1)
         while len(new):
             free = self.slots[slot] < 0
@@ -192,7 +197,7 @@ class Encoder:
         keys, checks = self._hashes(data, starts, sizes)
         i, found = self._find(keys, checks)
         if not found.all():
-            if len(self.keys) > CACHE_CHUNKS or len(self.keys) + len(keys) > SLOTS // 2:
+            if self.n > CACHE_CHUNKS or self.n + len(keys) > SLOTS // 2:
                 self._forget()
                 found[:] = False
             new, first = np.unique(keys[~found], return_index=True)
@@ -203,10 +208,8 @@ class Encoder:
         if not found.all():  # equal keys of different chunks
             odd = np.flatnonzero(~found)
             ids, m = self._encode([blob[starts[j] : starts[j] + sizes[j]].decode("utf-8", "surrogatepass") for j in odd])
-            n = n.copy()
-            at = at.copy()
-            at[odd], n[odd] = len(self.pool) + np.cumsum(m) - m, m
-            ids = self._gather(np.concatenate([self.pool, ids]), at, n)
+            at[odd], n[odd] = self.used + np.cumsum(m) - m, m
+            ids = self._gather(np.concatenate([self.pool[: self.used], ids]), at, n)
         else:
             ids = self._gather(self.pool, at, n)
         ends = np.cumsum(n)
