@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be very long, so a batch is kept to a few MB of usual texts.
-ARROW_ROWS = 2000
+ARROW_ROWS = 400
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,14 +48,20 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, tag: str, *, partition_by: list[str] | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, tag)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def materialize(df: DataFrame, tag: str, *, arrow_rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: cuts the lineage and survives lost executors.
+
+    arrow_rows: rows of an Arrow batch meanwhile, for narrow rows.
+    """
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    path, before = scratch(spark, tag), spark.conf.get(name)
+    try:
+        if arrow_rows:
+            spark.conf.set(name, str(arrow_rows))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(spark: SparkSession, path: str) -> None:
