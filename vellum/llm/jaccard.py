@@ -41,7 +41,7 @@ STARS = 4
 HOT, SEEDS, BAND, SKETCH_BITS, SENT_IDS = 32, 3, 1.4, 1024, 1_000_000
 
 #: Bytes of text handled at once.
-PART_BYTES = 2 << 20
+PART_BYTES, NARROW_ROWS = 2 << 20, 20_000
 _U = np.uint64
 
 
@@ -231,7 +231,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
     ids = materialize(narrow.mapInArrow(sets, "doc_id long, n long, sid long"), "jaccard-sets")
     shared = narrow.mapInArrow(words, "word long, sid long").repartition("word").sortWithinPartitions("word", "sid")
-    stars = materialize(shared.mapInArrow(star_groups, "word long, first long, sid long, hot boolean"), "jaccard-stars")
+    stars = materialize(shared.mapInArrow(star_groups, "word long, first long, sid long, hot boolean"), "jaccard-stars", arrow_rows=NARROW_ROWS)
 
     # Sets that are linked share at least E + 1 words in a scheme, of which only as many are missing as may be empty; a set
     # with fewer shared words has no link there. Hot words count between sets that have many of them.

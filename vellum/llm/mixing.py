@@ -65,8 +65,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     """The model of a bounded number of labelled documents."""
     domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
     rows = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id_"), domain.alias("domain"))
-    rows = rows.orderBy(F.xxhash64("id_"), "domain").limit(fit_rows)
-    known = docs.select(F.col(key).cast("long").alias("id_"), text_of(text).alias("t")).join(rows, "id_").select("domain", features(F.col("t")).alias("f"))
+    rows = rows.orderBy(F.xxhash64("id_"), "domain").limit(fit_rows)  # at most fit_rows rows of a number and a word are sent to all tasks
+    known = docs.select(F.col(key).cast("long").alias("id_"), text_of(text).alias("t")).join(F.broadcast(rows), "id_").select("domain", features(F.col("t")).alias("f"))
     known = materialize(known.select("domain", F.array_distinct("f").alias("f")), "mix-known")
     sizes = {r.domain: r.n for r in known.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
