@@ -208,11 +208,13 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     small_batches(spark)
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     bands = Bands(percent)
+    sketch = [f"h{i}" for i in range(SKETCH_BITS // 64)]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = shingle_sets(batch.column(1).to_pylist(), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([set_id(s) for s in made], pa.int64())], names=["doc_id", "n", "sid"])
+            bits = np.packbits(np.array([parity(s) for s in made], np.uint8).reshape(-1, SKETCH_BITS), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([set_id(s) for s in made], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], names=["doc_id", "n", "sid", *sketch])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -229,7 +231,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(owners))], names=["word", "sid"])
 
-    ids = materialize(narrow.mapInArrow(sets, "doc_id long, n long, sid long"), "jaccard-sets")
+    ids = materialize(narrow.mapInArrow(sets, ", ".join(f"{c} long" for c in ("doc_id", "n", "sid", *sketch))), "jaccard-sets")
     shared = narrow.mapInArrow(words, "word long, sid long").repartition("word").sortWithinPartitions("word", "sid")
     stars = materialize(shared.mapInArrow(star_groups, "word long, first long, sid long, hot boolean"), "jaccard-stars", arrow_rows=NARROW_ROWS)
 
@@ -298,15 +300,20 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     ranked = open_.join(open_.groupBy("word").agg(F.count("*").alias("many")), "word")
     ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("sid", scheme).orderBy("many", "word"))).where("nth <= prefix")
     ranked = materialize(ranked.select("word", "sid", "size", "label", "main"), "jaccard-prefixes")
-    out = ranked.where("label <> main").select("word", F.col("sid").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"))
-    other = ranked.select("word", F.col("sid").alias("y"), F.col("label").alias("ly"), F.col("size").alias("ny"), "main")
+    # The Hamming distance of parity sketches is at most the symmetric difference: the join itself rules out what differs too much.
+    bits = ids.join(ranked.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(*(F.first(c).alias(c) for c in sketch))
+    ranked = materialize(ranked.join(bits, "sid"), "jaccard-sketched")
+    out = ranked.where("label <> main").select(F.col("word").alias("word_x"), F.col("sid").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"), *(F.col(c).alias(f"x_{c}") for c in sketch))
+    other = ranked.select("word", F.col("sid").alias("y"), F.col("label").alias("ly"), F.col("size").alias("ny"), "main", *(F.col(c).alias(f"y_{c}") for c in sketch))
+    distance = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in sketch[1:]), F.bit_count(F.col(f"x_{sketch[0]}").bitwiseXOR(F.col(f"y_{sketch[0]}"))))
     near = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y")))
-    last = out.join(other, "word").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    near &= distance * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
+    last = out.join(other, (F.col("word_x") == F.col("word")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     last = materialize(last.join(done, ["a", "b"], "left_anti"), "jaccard-last")
     links = materialize(links.union(verify(last)), "jaccard-links")
     labels = components(links).withColumnRenamed("v", "sid")
 
-    named = ids.join(labels, "sid", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "sid")))
+    named = ids.select("doc_id", "n", "sid").join(labels, "sid", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "sid")))
     named = materialize(named, "jaccard-named")
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs"))
     least = least.where("docs > 1").select("label", "least")
