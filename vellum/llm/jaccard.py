@@ -41,7 +41,7 @@ STARS = 4
 HOT, SEEDS, BAND, SKETCH_BITS, SENT_IDS = 32, 3, 1.4, 1024, 1_000_000
 
 #: Bytes of text handled at once.
-PART_BYTES, NARROW_ROWS = 2 << 20, 20_000
+PART_BYTES, NARROW_ROWS = 512 << 10, 20_000
 _U = np.uint64
 
 

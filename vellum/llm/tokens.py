@@ -19,7 +19,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Chunks remembered (a bound of memory and speed only) and slots of their table, which a part more must fit in; chunks encoded by one call.
 CACHE_CHUNKS, SLOTS, CALL_CHUNKS = 1_400_000, 1 << 22, 2048
 #: Bytes of text handled at once.
-PART_BYTES = 2 << 20
+PART_BYTES = 512 << 10
 
 _U = np.uint64
 _SPACE = re.compile(r"\s")
