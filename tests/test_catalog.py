@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from vellum import catalog
+from vellum import catalog, catalog_delivery  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -182,19 +182,20 @@ def run_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN replace(a, 'e', 'E') ELSE a END AS selected, CASE WHEN doc_id % 5 = 0 AND replace(a, 'e', 'E') <> a AND replace(a, 'e', 'E') <> b THEN 'reject' ELSE 'accept' END AS verdict
-FROM (SELECT doc_id, substr(text, 1, 40) AS a, regexp_replace(substr(text, 1, 40), '[ \\n]+', ' ', 'g') AS b FROM documents)""")
+FROM (SELECT doc_id, text AS a, regexp_replace(text, '[ \\n]+', ' ', 'g') AS b FROM documents)""")
 def guard_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 40).alias("a")).withColumn("b", F.regexp_replace("a", "[ \\n]+", " "))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a")).withColumn("b", F.regexp_replace("a", "[ \\n]+", " "))
     picked = F.when(F.col("doc_id") % 5 == 0, F.replace("a", F.lit("e"), F.lit("E"))).otherwise(F.col("a"))
     return docs.select("doc_id", picked.alias("selected"), review.guard_literal(picked, F.array("a", "b")).alias("verdict"))
 
 
-@query("""WITH p AS (SELECT doc_id, substr(regexp_replace(text, '[^A-Za-z0-9 .]', '', 'g'), 1, 120) AS r FROM documents), q AS (SELECT *, replace(replace(r, 'e', ''), 'th', 't h') AS h FROM p)
-SELECT doc_id, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r) WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END, 6) AS cer FROM q""")
+@query("""+ p AS (SELECT doc_id, page, regexp_replace(string_agg(text, ' ' ORDER BY vline, k), '[^A-Za-z0-9 .]', '', 'g') AS r FROM words GROUP BY ALL), q AS (SELECT *, replace(replace(r, 'e', ''), 'th', 't h') AS h FROM p)
+SELECT doc_id, page, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r) WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END, 6) AS cer FROM q""", with_words=True)
 def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents").select("doc_id", F.substring(F.regexp_replace("text", "[^A-Za-z0-9 .]", ""), 1, 120).alias("r"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vline", "k", "text"))), lambda w: w["text"]), " ")
+    pages = source.words(spark, sf_dir).groupBy(*PAGE).agg(F.regexp_replace(text, "[^A-Za-z0-9 .]", "").alias("r"))
     damaged = F.replace(F.replace("r", F.lit("e"), F.lit("")), F.lit("th"), F.lit("t h"))
-    return docs.select("doc_id", F.round(validate.character_error_rate(F.col("r"), damaged), 6).alias("cer"))
+    return pages.select(*PAGE, F.round(validate.character_error_rate(F.col("r"), damaged), 6).alias("cer"))
 
 
 RECALL = """, n AS (SELECT doc_id, t, sum(r) AS r, sum(h) AS h FROM (SELECT doc_id, unnest(rs) AS t, 1 AS r, 0 AS h FROM pairs UNION ALL SELECT doc_id, unnest(hs), 0, 1 FROM pairs) GROUP BY ALL),
