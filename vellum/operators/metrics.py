@@ -13,8 +13,17 @@ ERRORS = ("cer", "table_cell_cer", "insertion_rate", "deletion_rate")
 LEAST_TOTAL, MOST_CER, LEAST_DIACRITIC, LEAST_NUMERIC = 0.80, 0.20, 0.90, 0.95
 #: Frequent words by language, our own choice for detection.
 STOP_WORDS = {"en": "the and of to is that with for was are this", "de": "der die und das ist nicht ein eine mit von auf", "es": "el los las una que por con para del como", "fr": "le les des une est dans pour que avec sur", "pt": "os uma um que com para do da em mais", "it": "il di che una per con del sono gli della"}
-#: Letters of the Latin blocks that decompose into a letter and marks.
-ACCENTED = "([" + "".join(c for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if any(map(unicodedata.combining, unicodedata.normalize("NFD", c)))) + "])"
+
+
+def _accented() -> str:
+    """A class of the letters of the Latin blocks that decompose into a letter and marks, as ranges."""
+    marked = [c for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if any(map(unicodedata.combining, unicodedata.normalize("NFD", chr(c))))]
+    firsts = [c for c in marked if c - 1 not in marked]
+    lasts = [c for c in marked if c + 1 not in marked]
+    return "([" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(firsts, lasts, strict=True)) + "])"
+
+
+ACCENTED = _accented()
 
 
 def goodness(metric: Column, value: Column) -> Column:
