@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from vellum import catalog, catalog_delivery  # noqa: F401
+from vellum import catalog, catalog_delivery, catalog_records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -16,7 +16,7 @@ def rows(frame):
     return cols, sorted((tuple(map(clean, r)) for r in frame[cols].astype(object).itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
