@@ -87,10 +87,16 @@ def ratio(a: str, b: str) -> float:
 def matched_lines(found: DataFrame, reference: DataFrame, page: list[str]) -> DataFrame:
     """found(page, id, text) with ref_id and ratio of its page's most alike line of reference(page, ref_id, ref_text), the first of
     equals, if at least 40 % alike; else both null. A page's lines are the join's only fan-out, and Python sees pairs, never a page."""
-    both = found.join(reference, page)
+    clean = found.withColumn("text_", F.coalesce("text", F.lit("")))
+    lines = reference.select(*page, "ref_id", F.coalesce("ref_text", F.lit("")).alias("ref_text"))
+    # Equal lines need no rating, and lengths alone rule out pairs that can't be alike enough.
+    same = clean.join(lines.withColumnRenamed("ref_text", "text_"), [*page, "text_"]).groupBy(*page, "id").agg(F.min("ref_id").alias("same_"))
+    rest = clean.join(same, [*page, "id"], "left_anti").select(*page, "id", F.col("text_").alias("text"))
+    possible = 200 * F.least(F.length("text"), F.length("ref_text")) >= LEAST_RATIO * (F.length("text") + F.length("ref_text"))
     keys = [*page, "id"]
-    types = {f.name: f.dataType.simpleString() for f in both.schema}
-    narrow = both.select(*keys, "ref_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("ref_text", F.lit("")).alias("ref_text"))
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much work: not to be coalesced
+    narrow = rest.repartition(tasks, *keys).join(lines, page).where(possible).select(*keys, "ref_id", "text", "ref_text")
+    types = {f.name: f.dataType.simpleString() for f in narrow.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,4 +106,5 @@ def matched_lines(found: DataFrame, reference: DataFrame, page: list[str]) -> Da
 
     rated = narrow.mapInArrow(run, ", ".join([*(f"`{k}` {types[k]}" for k in [*keys, "ref_id"]), "ratio double"])).where(F.col("ratio") >= LEAST_RATIO)
     best = rated.groupBy(*keys).agg(F.min_by(F.struct("ref_id", "ratio"), F.struct(-F.col("ratio"), F.col("ref_id"))).alias("best_"))
-    return found.join(best, keys, "left").withColumn("ref_id", F.col("best_.ref_id")).withColumn("ratio", F.col("best_.ratio")).drop("best_")
+    made = found.join(best, keys, "left").join(same, keys, "left")
+    return made.withColumn("ref_id", F.coalesce("same_", "best_.ref_id")).withColumn("ratio", F.when(F.col("same_").isNotNull(), 100.0).otherwise(F.col("best_.ratio"))).drop("best_", "same_")
