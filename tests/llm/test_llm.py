@@ -165,6 +165,23 @@ def test_template_classes():
     assert extract(page, [words], 9) == "News & more\n\nof today" and extract(page, [], 1).startswith("We use")
 
 
+def test_template_slots(spark):
+    """Text repeated inside articles is template; main text outside a teaser and single pages' text stay."""
+    from vellum.llm.html_template import main_text
+
+    random.seed(8)
+    say = lambda n: " ".join("".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    own = [(say(30), say(2), say(40)) for _ in range(12)]
+    inside = "<article><p>{}</p><p>read more on this</p><p>This was written for you by {} in our office</p><p>read {}</p></article>"
+    rows = [(i, "http://a.b/", inside.format(*x)) for i, x in enumerate(own)] + [(100 + i, "http://c.d/", f"<article>look here {x[1]}</article><div><p>we use files of yours</p><p>{x[0]}</p></div>") for i, x in enumerate(own)]
+    rows += [(200, "http://e.f/", inside.format(*own[0]))]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, (text, name, more) in enumerate(own):
+        assert got[i] == f"{text}\n\n{name}\n\nread {more}"
+        assert text in got[100 + i] and name in got[100 + i] and "files" not in got[100 + i]
+    assert "read more on this" in got[200]
+
+
 def test_warc(spark):
     import base64
 

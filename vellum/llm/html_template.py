@@ -1,20 +1,23 @@
 """HTML extraction by equivalence-class template deduction.
 
-Tokens are tags (with class and id) and the words outside the article elements. Over the distinct pages of a host, each token has an
+Tokens are tags (with class and id), the words of the whole page, and its blocks of text as wholes (so that a notice whose words also
+stand elsewhere is one token). Over the distinct pages of a host, each token has an
 occurrence vector; tokens with the same vector form an equivalence class. A vector is held as its number of pages and an exclusive or of
-hashes of (page, count), so it is an aggregate that combines before the shuffle: neither a large host nor a common token
-is a hot key. Classes in at least half of a host's pages are valid where their tokens keep one order on the page at hand; valid classes
-nest by their extent into the page's template. What stands between template tokens are slots. The article is what remains of the
-slots: those in the article element if there is one, without elements that are page furniture by name, class or id, and
-without blocks that are template text.
-
-Edge cases: null html is empty and gives an empty text; null urls share the empty host; a host with one distinct page has only its
-tags for a template; broken markup is read as browsers do as far as blocks are concerned (unclosed elements end with their parent,
+hashes of (page, count), so it is an aggregate of groups of a host's pages, which keep only common tokens: neither a large host nor a
+common token is a hot key. Classes in at least half of a host's pages are valid where their tokens keep one order on the page at hand; valid classes
+nest by their extent into the page's template. What stands between template tokens are slots, and the text is theirs, on every page:
+blocks that are template tokens, or all of whose words are, are none, and ``RUN`` or more successive words of a class end a slot within a block.
+Elements are a check on top: slots in page furniture (by name, class or id) are left out, and those outside an article element too,
+unless the article elements hold less than ``TEASER`` of the slots' text.
+
+Edge cases: null html is empty and gives an empty text; null urls share the empty host; a host with fewer than
+``WORD_PAGES`` distinct pages has no template; a page that would be all template keeps its text; broken markup is read as browsers do as far as blocks are concerned (unclosed elements end with their parent,
 stray end tags are ignored, scripts and styles end at their own end tag only); repeated pages count once and are extracted each.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -29,6 +32,10 @@ from vellum.llm.common import arrow_schema, materialize, small_batches
 
 #: Share of a host's distinct pages that a class of the template is in, and distinct pages before words count as template text.
 SUPPORT, WORD_PAGES = 0.5, 5
+#: Tokens of a class and successive words before words within a block count as template; share of the slots' text below which articles are teasers.
+RUN, TEASER = 3, 0.5
+#: Distinct pages of a large host that are counted together, at least.
+GROUP = 400
 
 #: Elements that are page furniture or no text; the words by which classes and ids name furniture.
 FURNITURE = frozenset("nav header footer aside form script style head title noscript template iframe svg button select option textarea input object canvas audio video menu dialog math".split())
@@ -75,36 +82,42 @@ def is_furniture(name: str, named: str) -> bool:
     return name in FURNITURE or bool(named) and name not in ("html", "body", *ARTICLE) and not NAMES.isdisjoint(_CUT.split(named)) or name in ARTICLE and not {"comment", "comments", "reply"}.isdisjoint(_CUT.split(named))
 
 
-def blocks(source: str) -> tuple[list[tuple[str, int, bool]], list[str]]:
-    """Blocks outside furniture as (text, place among the tokens, whether in an article), and the page's tokens in order."""
+def block_token(text: str) -> str:
+    return f"\N{PILCROW SIGN}{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=8).hexdigest()}"
+
+
+def blocks(source: str) -> tuple[list[tuple[list[str], int, bool, bool]], list[str]]:
+    """Blocks as (words, place of the first among the tokens, whether in furniture, whether in an article), and the page's tokens in order: a block's own is before its words."""
     stack: list[tuple[str, bool, bool]] = []  # element, whether furniture holds, whether in an article
-    out: list[tuple[str, int, bool]] = []
+    out: list[tuple[list[str], int, bool, bool]] = []
     tokens: list[str] = []
     parts: list[str] = []
     state = (False, False)
 
     def flush() -> None:
         if parts:
-            text = " ".join(html.unescape("".join(parts)).split())
+            words = html.unescape("".join(parts)).split()
             parts.clear()
-            if text:
-                out.append((text, len(tokens), state[1]))
+            if words:
+                tokens.append(block_token(" ".join(words)))
+                out.append((words, len(tokens), *state))
+                tokens.extend(words)
 
     for kind, name, named in parse(source):
         if kind == "text":
-            if not state[0]:
-                parts.append(name)
-            if not state[1]:
-                tokens += html.unescape(name).split()
+            parts.append(name)
             continue
-        tokens.append(f"<{name} {named}>" if kind == "open" else f"</{name}>")
+        token = f"<{name} {named}>" if kind == "open" else f"</{name}>"
         if name in VOID:
             if name == "br" or name not in INLINE:
                 parts.append(" ") if parts and name in ("br", "img", "input", "wbr") else flush()
+            tokens.append(token)
             continue
         if name in INLINE and not (kind == "open" and is_furniture(name, named)) and not any(s[0] == name for s in stack[-1:]):
+            tokens.append(token)
             continue
         flush()
+        tokens.append(token)
         if kind == "open":
             stack.append((name, *state))
             state = (state[0] or is_furniture(name, named), state[1] or name in ARTICLE)
@@ -156,15 +169,35 @@ def fitted(tokens: list[str], classes: list[list[str]]) -> list[tuple[int, int,
     return kept
 
 
+def slot_words(words: list[str], own: str, fixed: dict[str, list[str]]) -> list[str]:
+    """A block's words that are in slots of the template. fixed: the valid class of each template token; own: the block's token."""
+    if own in fixed or all(w in fixed for w in words):
+        return []
+    out: list[str] = []
+    at = 0
+    while at < len(words):
+        c, end = fixed.get(words[at]), at + 1
+        while c and end < len(words) and fixed.get(words[end]) is c:
+            end += 1
+        if not c or len(c) < RUN or end - at < RUN:
+            out += words[at:end]
+        at = end
+    return out
+
+
 def extract(source: str, classes: list[list[str]], distinct: int) -> str:
-    """The article's blocks: slots of the template in the article, or in what isn't furniture if there is none."""
+    """The text of the template's slots that are no furniture; only of those in articles, if these aren't teasers."""
     found, tokens = blocks(source)
-    if any(inside for *_, inside in found):
-        found = [b for b in found if b[2]]
-    elif distinct >= WORD_PAGES:
-        fixed = Counter(t for *_, c in fitted(tokens, classes) for t in c)
-        found = [b for b in found if not all(w in fixed for w in b[0].split())]
-    return "\n\n".join(text for text, *_ in found)
+    found = [b for b in found if not b[2]]
+    slots = [(" ".join(words), inside) for words, _, _, inside in found]
+    if distinct >= WORD_PAGES:
+        fixed = {t: c for *_, c in fitted(tokens, classes) for t in c}
+        kept = [(" ".join(slot_words(words, tokens[at - 1], fixed)), inside) for words, at, _, inside in found]
+        slots = [x for x in kept if x[0]] or slots
+    size = sum(len(text) for text, _ in slots)
+    if sum(len(text) for text, inside in slots if inside) >= TEASER * size:
+        slots = [x for x in slots if x[1]]
+    return "\n\n".join(text for text, _ in slots)
 
 
 def host_of(url: str) -> str:
@@ -172,31 +205,76 @@ def host_of(url: str) -> str:
     return m[1].lower() if m else ""
 
 
+def tallied(pages: list[tuple[int, list[str]]], share: float) -> Iterator[tuple[str, int, int, float]]:
+    """(token, pages, vector, sum of first places) of the tokens in at least that share of the pages (content hash, tokens)."""
+    counts = [Counter(tokens) for _, tokens in pages]
+    seen = Counter(t for c in counts for t in c)
+    often = {t: [0, 0.0] for t, n in seen.items() if n >= share * len(pages)}
+    for (content, tokens), c in zip(pages, counts, strict=True):
+        first: dict[str, int] = {}
+        for i, t in enumerate(tokens):
+            if t in often:
+                first.setdefault(t, i)
+        marks: dict[int, int] = {}
+        for t, i in first.items():
+            n = c[t]
+            if n not in marks:
+                marks[n] = int.from_bytes(hashlib.blake2b(f"{content} {n}".encode(), digest_size=8).digest(), "little", signed=True)
+            often[t][0] ^= marks[n]
+            often[t][1] += i / len(tokens)
+    for t, (vector, place) in often.items():
+        yield t, seen[t], vector, place
+
+
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, distinct, classes json) for pages(host, html): a written table."""
-    schema_ddl = "host string, content long, token string, n int, place double"
-    schema = arrow_schema(pages.sparkSession, schema_ddl)
+    """(host, distinct, tokens json) for pages(host, html), of hosts with enough distinct pages: a written table.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Pages of a host are counted in groups of ``GROUP`` at least, dealt by content: a group leaves out rare tokens before the shuffle. In a host of
+    one group that is exact; in a random group a token of half of the host's pages is in less than a quarter with a chance below 1e-15.
+    """
+    spark = pages.sparkSession
+    dealt_schema = arrow_schema(spark, "host string, content long, html string")
+    schema_ddl = "host string, token string, pages long, vector long, place double"
+    schema = arrow_schema(spark, schema_ddl)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()  # of a task: of a page with many copies, one a task is dealt out
         for batch in batches:
-            rows = []
-            for host, content, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = blocks(source)[1]
-                first: dict[str, int] = {}
-                for i, t in enumerate(tokens):
-                    first.setdefault(t, i)
-                rows += [(host, content, t, n, first[t] / len(tokens)) for t, n in Counter(tokens).items()] or [(host, content, "", 0, 0.0)]
+            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            mask = [k not in seen and not seen.add(k) for k in keys]
+            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(mask, pa.bool_())).columns, schema=dealt_schema)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple[str, int, int] | None = None
+        group: dict[int, list[str]] = {}
+
+        def made() -> pa.RecordBatch:
+            rows = [(key[0], *x) for x in tallied(list(group.items()), SUPPORT if key[1] == 1 else SUPPORT / 2)] if key else []
             columns = zip(*rows, strict=True) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
-    each = pages.select("host", F.xxhash64("html").alias("content"), "html").mapInArrow(count, schema_ddl)
-    each = each.groupBy("host", "token", "content").agg(F.max("n").alias("n"), F.min("place").alias("place"))
-    vectors = materialize(each.groupBy("host", "token").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("content", "n")).alias("vector"), F.avg("place").alias("place")), "html-vectors")
-    sizes = pages.select("host", F.xxhash64("html").alias("content")).distinct().groupBy("host").agg(F.count("*").alias("distinct"))
-    good = vectors.where("token <> ''").join(sizes, "host").where(F.col("pages") >= SUPPORT * F.col("distinct"))
+        for batch in batches:
+            for host, groups, part, content, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (host, groups, part) != key:
+                    yield made()
+                    key, group = (host, groups, part), {}
+                if content not in group:
+                    group[content] = blocks(source)[1]
+        yield made()
+
+    rows = pages.select("host", F.xxhash64("html").alias("content"), "html")
+    sizes = rows.groupBy("host", "content").agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("distinct")).where(F.col("distinct") >= WORD_PAGES)
+    sizes = materialize(sizes, "html-hosts")
+    # Large hosts are at most pages / (2 GROUP).
+    large = sizes.where(F.col("distinct") >= 2 * GROUP).select("host", F.floor(F.col("distinct") / GROUP).cast("long").alias("groups"))
+    dealt = rows.mapInArrow(once, "host string, content long, html string").join(F.broadcast(large), "host", "left")
+    dealt = dealt.withColumn("groups", F.coalesce("groups", F.lit(1).cast("long"))).select("host", "groups", F.pmod(F.xxhash64("content"), "groups").alias("part"), "content", "html")
+    each = dealt.repartition("host", "part").sortWithinPartitions("host", "part").mapInArrow(count, schema_ddl)
+    vectors = each.groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"), (F.sum("place") / F.sum("pages")).alias("place"))
+    good = vectors.join(sizes, "host").where(F.col("pages") >= SUPPORT * F.col("distinct"))
     # At most (tokens of a page, on average) / SUPPORT tokens a host.
-    rows = good.groupBy("host").agg(F.first("distinct").alias("distinct"), F.to_json(F.collect_list(F.struct(F.concat_ws(":", "pages", "vector").alias("v"), F.col("token").alias("t"), F.col("place").alias("p")))).alias("tokens"))
-    return materialize(rows, "html-templates")
+    found = good.groupBy("host").agg(F.first("distinct").alias("distinct"), F.to_json(F.collect_list(F.struct(F.concat_ws(":", "pages", "vector").alias("v"), F.col("token").alias("t"), F.col("place").alias("p")))).alias("tokens"))
+    return materialize(found, "html-templates")
 
 
 def main_text(pages: DataFrame, *, source: str = "html", url: str = "url", key: str = "page_id") -> DataFrame:
