@@ -268,6 +268,16 @@ def test_mixing(spark):
     assert mix(docs.limit(0), labels.limit(0)).count() == 0  # no labels either
 
 
+@pytest.mark.parametrize("grow", [False, True])
+def test_mixing_copies_meet_the_targets(spark, grow):
+    from vellum.llm.common import table
+    from vellum.llm.mixing import mix, totals
+
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    got = totals(mix(docs, labels, grow=grow))
+    assert all(abs(a - b) < 0.005 for a, b in got.values()), got
+
+
 def test_odd_inputs(spark, odd):
     import corpus_pipeline
 

@@ -183,7 +183,7 @@ def fit_rates(members: DataFrame, *, targets: dict[str, float] = TARGETS, budget
 
 def mix(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", targets: dict[str, float] = TARGETS, budget: float | None = None, grow: bool = False) -> DataFrame:
     """A row per document: doc_id, n_tokens (words), posterior, rate, and copies: the rate rounded up or down by a hash of the
-    id so that its mean is the rate, but at least one where the rate is at least a half. A written table."""
+    id so that its mean is the rate. A written table."""
     model = fit(docs, labels, text=text, key=key)
     t = text_of(text)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.size(words_of(t)).cast("long").alias("n_tokens"), posteriors(t, model).alias("posterior"))
@@ -199,7 +199,15 @@ def copies_of(rate: Column, key: Column) -> Column:
 
 def _rounded(rate: Column, key: Column) -> Column:
     part = F.pmod(F.xxhash64(key, F.lit("copies")), F.lit(1 << 30)) / float(1 << 30)
-    return F.greatest(F.floor(rate + part), F.when(rate >= 0.5, F.lit(1)).otherwise(F.lit(0))).cast("int")
+    return F.floor(rate + part).cast("int")
+
+
+def totals(rows: DataFrame, targets: dict[str, float] = TARGETS) -> dict[str, tuple[float, float]]:
+    """For each domain its target and its share of the expected tokens after copies, from rows(n_tokens, posterior, copies)."""
+    each = (F.sum(F.col("n_tokens") * F.col("copies") * F.element_at("posterior", i + 1)) for i in range(len(DOMAINS)))
+    got = [float(x or 0.0) for x in rows.agg(*(x.alias(d) for x, d in zip(each, DOMAINS, strict=True))).first()]
+    want, have = sum(targets.values()) or 1.0, sum(got) or 1.0
+    return {d: (targets.get(d, 0.0) / want, x / have) for d, x in zip(DOMAINS, got, strict=True)}
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", targets: dict[str, float] = TARGETS, grow: bool = True) -> DataFrame:
