@@ -2,8 +2,8 @@
 
 Quality rules drop failing and depleted documents and take lines that repeat across a host's documents out of the rest;
 near duplicates (five-word shingles, similarity 0.8) keep the document with the smallest id of each group; personal
-data is masked; documents are repeated or dropped by rates that bring the domains to their target weights, toxic ones to
-nothing; what remains is packed into sequences of 2048 tokens. Between stages the documents are written as Parquet and read again.
+data is masked; documents are repeated or dropped by rates that bring the domains to their target weights, and those that are
+labelled toxic or most likely toxic by the fitted model are dropped (toxic ones that the model takes for others stay; README); what remains is packed into sequences of 2048 tokens. Between stages the documents are written as Parquet and read again.
 
 Edge cases: null texts are empty, and empty documents fail the quality rules; rows that repeat an id and a text are one group
 of near duplicates, of which one row stays; extra columns travel along untouched, whatever their names; empty tables give empty results.
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm.common import fresh, materialize, table
 from vellum.llm.jaccard import jaccard_components
-from vellum.llm.mixing import mixed_documents
+from vellum.llm.mixing import TARGETS, mixed_documents
 from vellum.llm.packing import pack, token_pieces
 from vellum.llm.pii import mask_pii
 from vellum.llm.quality import quality
@@ -53,7 +53,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixed_documents(docs, table(spark, sf_dir, "labels"))
+    return mixed_documents(docs, table(spark, sf_dir, "labels"), targets={**TARGETS, "toxic": 0.0})
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

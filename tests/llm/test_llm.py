@@ -278,6 +278,26 @@ def test_mixing_copies_meet_the_targets(spark, grow):
     assert all(abs(a - b) < 0.005 for a, b in got.values()), got
 
 
+def test_pipeline_drops_toxic_documents(spark):
+    import corpus_pipeline
+
+    from vellum.llm.common import table
+    from vellum.llm.mixing import TARGETS, fit, mixed_documents, posteriors
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    toxic = labels.where("toxic = 1").select("doc_id")
+    assert corpus_pipeline.mixing(spark, docs, sf).join(toxic, "doc_id").count() == 0
+    # Labels that aren't known to the fit: those that the model takes for toxic go.
+    known = labels.where("doc_id % 2 = 0")
+    kept = mixed_documents(docs, known, targets={**TARGETS, "toxic": 0.0})
+    p = posteriors(kept["text"], fit(docs, known))
+    assert kept.select(p.alias("p")).where("p[2] > p[0] and p[2] > p[1]").count() == 0
+    odd = toxic.where("doc_id % 2 = 1").join(docs, "doc_id")
+    lost = 1 - kept.join(toxic.where("doc_id % 2 = 1"), "doc_id").select("doc_id").distinct().count() / odd.count()
+    assert lost > 0.8
+
+
 def test_odd_inputs(spark, odd):
     import corpus_pipeline
 

@@ -61,10 +61,14 @@ def features(text: Column) -> Column:
     return bound(F.split(F.lower(text), "\\P{L}+"), of)
 
 
+def label() -> Column:
+    """A labelled row's domain."""
+    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", fit_rows: int = FIT_ROWS) -> Model:
     """The model of a bounded number of labelled documents."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor")
-    rows = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id_"), domain.alias("domain"))
+    rows = labels.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id_"), label().alias("domain"))
     rows = rows.orderBy(F.xxhash64("id_"), "domain").limit(fit_rows)  # at most fit_rows rows of a number and a word are sent to all tasks
     known = docs.select(F.col(key).cast("long").alias("id_"), text_of(text).alias("t")).join(F.broadcast(rows), "id_").select("domain", features(F.col("t")).alias("f"))
     known = materialize(known.select("domain", F.array_distinct("f").alias("f")), "mix-known")
@@ -145,13 +149,13 @@ def _solve(g: list[list[float]], r: list[float]) -> list[float]:
     return out
 
 
-def rate_of(posterior: Column, steps: list[list[float]]) -> Column:
-    """A document's rate after the steps."""
-    if not steps:
-        return F.lit(1.0)
+def rate_of(posterior: Column, steps: list[list[float]], targets: dict[str, float] = TARGETS) -> Column:
+    """A document's rate after the steps: nothing where its likeliest domain has no target."""
     each = F.array(*(F.array(*map(F.lit, c)) for c in steps))
     dot = lambda c: sum((F.element_at(posterior, i + 1) * F.element_at(c, i + 1) for i in range(len(DOMAINS))), F.lit(0.0))
-    return F.aggregate(each, F.lit(1.0), lambda w, c: F.greatest(F.lit(0.0), w + dot(c)))
+    rate = F.aggregate(each, F.lit(1.0), lambda w, c: F.greatest(F.lit(0.0), w + dot(c))) if steps else F.lit(1.0)
+    none = [i + 1 for i, d in enumerate(DOMAINS) if not targets.get(d)]
+    return F.when(F.array_position(posterior, F.array_max(posterior)).isin(none), 0.0).otherwise(rate) if none else rate
 
 
 def fit_rates(members: DataFrame, *, targets: dict[str, float] = TARGETS, budget: float | None = None, grow: bool = False) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
@@ -172,12 +176,18 @@ def fit_rates(members: DataFrame, *, targets: dict[str, float] = TARGETS, budget
         budget = max((h / g, h, g) for h, g in zip(have, goal, strict=True) if g == max(goal))[0] if grow else sum(h for h, g in zip(have, goal, strict=True) if g > 0)
     b = [g * budget for g in goal]
     steps: list[list[float]] = []
-    got = have
+
+    def sums() -> list[float]:
+        rated = members.withColumn("w_", rate_of(F.col("posterior"), steps, targets))
+        row = rated.agg(*(F.sum(n * p[i] * F.col("w_")).alias(f"t{i}") for i in range(k))).first()
+        return [float(row[f"t{i}"] or 0.0) for i in range(k)]
+
+    got = have if all(goal) else sums()
     while budget > 0 and len(steps) < STEPS and max(abs(x - y) for x, y in zip(b, got, strict=True)) > TOLERANCE * budget:
         steps.append(_solve(gram, [x - y for x, y in zip(b, got, strict=True)]))
-        rated = members.withColumn("w_", rate_of(F.col("posterior"), steps))
-        sums = rated.agg(*(F.sum(n * p[i] * F.col("w_")).alias(f"t{i}") for i in range(k))).first()
-        got = [float(sums[f"t{i}"] or 0.0) for i in range(k)]
+        before, got = got, sums()
+        if max(abs(x - y) for x, y in zip(before, got, strict=True)) <= TOLERANCE / 10 * budget:
+            break  # what is left can't be met
     return steps, {d: (b[i], got[i]) for i, d in enumerate(DOMAINS)}
 
 
@@ -189,7 +199,7 @@ def mix(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.size(words_of(t)).cast("long").alias("n_tokens"), posteriors(t, model).alias("posterior"))
     members = materialize(rows, "mix-members")
     steps, _ = fit_rates(members, targets=targets, budget=budget, grow=grow)
-    rate = rate_of(F.col("posterior"), steps)
+    rate = rate_of(F.col("posterior"), steps, targets)
     return members.withColumn("rate", rate).withColumn("copies", copies_of(F.col("rate"), F.col("doc_id")))
 
 
@@ -211,12 +221,17 @@ def totals(rows: DataFrame, targets: dict[str, float] = TARGETS) -> dict[str, tu
 
 
 def mixed_documents(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "doc_id", targets: dict[str, float] = TARGETS, grow: bool = True) -> DataFrame:
-    """docs, each as often as its copies say; columns as in docs."""
+    """docs, each as often as its copies say; columns as in docs. Documents labelled as of a domain without a target go, too."""
     model = fit(docs, labels, text=text, key=key)
+    none = [d for d in DOMAINS if not targets.get(d)]
+    if none:
+        i = fresh(docs, "id")
+        named = labels.where(label().isin(none) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias(i)).distinct()
+        docs = docs.join(materialize(named, "mix-named"), F.col(key).cast("long") == F.col(i), "left_anti")
     t = text_of(text)
     w = fresh(docs, "copies")
     soft = posteriors(t, model)
     members = materialize(docs.select(F.size(words_of(t)).cast("long").alias("n_tokens"), soft.alias("posterior")), "mix-members")
     steps, _ = fit_rates(members, targets=targets, grow=grow)
-    copies = bound(soft, lambda p: copies_of(rate_of(p, steps), F.col(key)))
+    copies = bound(soft, lambda p: copies_of(rate_of(p, steps, targets), F.col(key)))
     return docs.withColumn(w, F.explode(F.array_repeat(F.lit(1), copies))).drop(w)
