@@ -326,3 +326,15 @@ def test_odd_inputs(spark, odd):
         assert stage(spark, none, SF).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, odd, SF).where("doc_id = 3").count() == 2
     assert corpus_pipeline.STAGES[-1][1](spark, none, SF).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Near duplicates with null ids, and an id that names one group and is a copy in another."""
+    import corpus_pipeline
+
+    random.seed(6)
+    a, b, c = (" ".join("".join(random.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(3))
+    rows = [(5, a), (None, a), (None, a + " x"), (None, b), (None, b + " x"), (None, b), (1, c), (2, c + " x"), (2, a + " y"), (2, "own words only " * 3)]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    groups = sorted((next(x for x in (a, b, c, "own") if r.text.startswith(x)), -1 if r.doc_id is None else r.doc_id) for r in got)
+    assert groups == sorted([(a, 2), (b, -1), (c, 1), ("own", 2)])

@@ -203,7 +203,7 @@ def parity(hashes: np.ndarray) -> np.ndarray:
 
 
 def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_id", k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """A row per document: doc_id, n_shingles, set_id, component_id (the smallest doc_id that links reach)."""
+    """A row per document: doc_id, n_shingles, set_id, component_id (the smallest doc_id that links reach), label (one of the component's sets; null without shingles)."""
     spark = docs.sparkSession
     small_batches(spark)
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -317,7 +317,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     named = materialize(named, "jaccard-named")
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs"))
     least = least.where("docs > 1").select("label", "least")
-    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.coalesce("least", "doc_id").alias("component_id"))
+    return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.coalesce("least", "doc_id").alias("component_id"), "label")
 
 
 def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.jaccard import jaccard_components
 
-    return jaccard_components(table(spark, sf_dir, "documents")).drop("set_id")
+    return jaccard_components(table(spark, sf_dir, "documents")).drop("set_id", "label")
 
 
 def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
