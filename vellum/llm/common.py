@@ -27,13 +27,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (local runs) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, where all run on one machine, one of our own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         set_dir = sc._jsc.sc().getCheckpointDir()
         if set_dir.isDefined():
             return set_dir.get()
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="vellum-")
         sc.setCheckpointDir(found)
     return found
@@ -61,12 +63,28 @@ def materialize(df: DataFrame, tag: str, *, arrow_rows: int | None = None) -> Da
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(name, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path_ = path
+    return out
 
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing will read again."""
+    for df in tables:
+        hadoop = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.scratch_path_)
+        hadoop.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def range_cuts(keys: DataFrame, ranges: int) -> list[tuple]:
+    """First keys of all ranges but the lowest, as tuples in ascending order, for about equal ranges of the rows of keys.
+
+    Spark's range partitioner finds them from a bounded sample of each partition; at most ``ranges`` rows reach the driver.
+    """
+    if ranges <= 1:
+        return []
+    names = keys.columns
+    dealt = keys.repartitionByRange(ranges, *names).groupBy(F.spark_partition_id().alias("range_")).agg(F.min(F.struct(*names)).alias("low"))
+    return sorted({tuple(r.low) for r in dealt.collect()})[1:]
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:

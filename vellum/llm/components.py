@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialize
+from vellum.llm.common import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,9 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         after = materialize(small, "cc")
         if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
+            discard(after)
             break
+        discard(edges)
         edges = after
     stars = edges.select(F.col("u").alias("v"), F.col("v").alias("label"))
     return stars.union(stars.select(F.col("label").alias("v"), "label").distinct())

@@ -6,9 +6,10 @@ occurrence vector; tokens with the same vector form an equivalence class. A vect
 hashes of (page, count), so it is an aggregate of groups of a host's pages, which keep only common tokens: neither a large host nor a
 common token is a hot key. Classes in at least half of a host's pages are valid where their tokens keep one order on the page at hand; valid classes
 nest by their extent into the page's template. What stands between template tokens are slots, and the text is theirs, on every page:
-blocks that are template tokens, or all of whose words are, are none, and ``RUN`` or more successive words of a class end a slot within a block.
-Elements are a check on top: slots in page furniture (by name, class or id) are left out, and those outside an article element too,
-unless the article elements hold less than ``TEASER`` of the slots' text.
+blocks that are template tokens, or whose words are a run of one class, are none, and ``RUN`` or more successive words of a class end a slot within a block.
+Elements are a check on top: slots in page furniture are left out, and those outside an article element too,
+unless the article elements hold less than ``TEASER`` of the slots' text. Furniture has an element's name or, outside articles, any part of a
+class or id; inside articles only a whole class that is such a word counts, and none on headings, paragraphs and other text blocks.
 
 Edge cases: null html is empty and gives an empty text; null urls share the empty host; a host with fewer than
 ``WORD_PAGES`` distinct pages has no template; a page that would be all template keeps its text; broken markup is read as browsers do as far as blocks are concerned (unclosed elements end with their parent,
@@ -44,6 +45,8 @@ RAW = frozenset("script style noscript template iframe textarea title svg math".
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 ARTICLE = frozenset(("article", "main"))
+#: Blocks that hold an article's own text.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th figcaption".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -78,8 +81,15 @@ def parse(source: str) -> Iterator[tuple[str, str, str]]:
             yield "close", name, ""
 
 
-def is_furniture(name: str, named: str) -> bool:
-    return name in FURNITURE or bool(named) and name not in ("html", "body", *ARTICLE) and not NAMES.isdisjoint(_CUT.split(named)) or name in ARTICLE and not {"comment", "comments", "reply"}.isdisjoint(_CUT.split(named))
+def is_furniture(name: str, named: str, inside: bool = False) -> bool:
+    """named: class, id and role; inside: within an article element."""
+    if name in ARTICLE:
+        return not {"comment", "comments", "reply"}.isdisjoint(_CUT.split(named))
+    if name in FURNITURE and not (inside and name in ("header", "head", "title")):
+        return True
+    if not named or name in ("html", "body") or inside and name in TEXT:
+        return False
+    return not NAMES.isdisjoint(named.split() if inside else _CUT.split(named))
 
 
 def block_token(text: str) -> str:
@@ -113,14 +123,14 @@ def blocks(source: str) -> tuple[list[tuple[list[str], int, bool, bool]], list[s
                 parts.append(" ") if parts and name in ("br", "img", "input", "wbr") else flush()
             tokens.append(token)
             continue
-        if name in INLINE and not (kind == "open" and is_furniture(name, named)) and not any(s[0] == name for s in stack[-1:]):
+        if name in INLINE and not (kind == "open" and is_furniture(name, named, state[1])) and not any(s[0] == name for s in stack[-1:]):
             tokens.append(token)
             continue
         flush()
         tokens.append(token)
         if kind == "open":
             stack.append((name, *state))
-            state = (state[0] or is_furniture(name, named), state[1] or name in ARTICLE)
+            state = (state[0] or is_furniture(name, named, state[1]), state[1] or name in ARTICLE)
         elif any(s[0] == name for s in stack):
             while True:
                 top, *before = stack.pop()
@@ -133,7 +143,7 @@ def blocks(source: str) -> tuple[list[tuple[list[str], int, bool, bool]], list[s
             if len(stack) > 1 and stack[-2][0] in same:  # it ends the one before
                 closed = stack.pop(-2)
                 stack[-1] = (name, *closed[1:])
-                state = (closed[1] or is_furniture(name, named), closed[2])
+                state = (closed[1] or is_furniture(name, named, closed[2]), closed[2])
     flush()
     return out, tokens
 
@@ -171,7 +181,7 @@ def fitted(tokens: list[str], classes: list[list[str]]) -> list[tuple[int, int,
 
 def slot_words(words: list[str], own: str, fixed: dict[str, list[str]]) -> list[str]:
     """A block's words that are in slots of the template. fixed: the valid class of each template token; own: the block's token."""
-    if own in fixed or all(w in fixed for w in words):
+    if own in fixed or words[0] in fixed and all(fixed.get(w) is fixed[words[0]] for w in words):
         return []
     out: list[str] = []
     at = 0

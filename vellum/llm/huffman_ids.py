@@ -25,11 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import arrow_schema, make_dir, materialize, open_fs, scratch, small_batches
+from vellum.llm.common import arrow_schema, make_dir, materialize, open_fs, range_cuts, scratch, small_batches
 
 MAGIC = b"VHID0001"
-#: Ids of a block, longest code in bits (a power of two of table entries), ids and ranges of keys that share a file.
-BLOCK_IDS, MAX_BITS, RANGE_IDS, MAX_RANGES, FILE_BYTES = 512, 18, 2_000_000, 4096, 32 << 20
+#: Ids of a block, longest code in bits (a power of two of table entries), ids of a range of keys, on average, and bytes after which a range's next file begins.
+BLOCK_IDS, MAX_BITS, RANGE_IDS, FILE_BYTES = 512, 18, 2_000_000, 32 << 20
 
 WRITTEN = "bucket int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 
@@ -196,16 +196,16 @@ def write_ids(ids: DataFrame, kind: str = "<u2", *, out_dir: str | None = None)
     counts = id_counts(ids, kind)
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
-    ranges = int(min(MAX_RANGES, max(1, counts.sum() // RANGE_IDS)))
-    found = ids.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 10_000).alias("at")).first().at if ranges > 1 else None
-    splits = np.array(sorted(set(found or [])), np.int64)
+    ranges = int(max(1, counts.sum() // RANGE_IDS))
+    least = np.iinfo(np.int64).min
+    splits = np.array([k for k, in range_cuts(ids.select(F.coalesce("key", F.lit(int(least))).alias("key")), ranges)], np.int64)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0)
             docs = [np.frombuffer(x, kind) for x in batch.column(1).to_pylist()]
             made = encode_docs(docs, lengths, codes)
-            where = np.searchsorted(splits, keys.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False), side="right")
+            where = np.searchsorted(splits, keys.fill_null(int(least)).to_numpy(zero_copy_only=False), side="right")
             yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int32)), keys, pa.array([len(d) for d in docs], pa.int64()), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1].tobytes() for m in made], pa.binary())], names=["bucket", "key", "n_ids", "bits", "blocks"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def write_ids(ids: DataFrame, kind: str = "<u2", *, out_dir: str | None = None)
 
     arrow_schema_written = arrow_schema(spark, WRITTEN)
     coded = ids.select("key", "ids").mapInArrow(encode, "bucket int, key long, n_ids long, bits binary, blocks binary")
-    dealt = coded.repartition(max(1, min(ranges, 2000)), "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "bits")
+    dealt = coded.repartition(ranges, "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "bits")
     return materialize(dealt.mapInArrow(write, WRITTEN), "vhid-files"), folder
 
 
@@ -243,12 +243,12 @@ def read_ids(written: DataFrame) -> DataFrame:
     """Rows (key, start, n_ids, ids binary of uint32) of the files, in which start counts the ids of all documents before."""
     spark = written.sparkSession
     small_batches(spark)
-    base, total = {}, 0
-    for r in written.groupBy("bucket").agg(F.sum("n_ids").alias("n")).orderBy("bucket").collect():  # at most MAX_RANGES rows
-        base[r.bucket], total = total, total + r.n
+    base, total, n_files = {}, 0, 0
+    for r in written.groupBy("bucket").agg(F.sum("n_ids").alias("n"), F.count("*").alias("files")).orderBy("bucket").collect():  # a row a range
+        base[r.bucket], total, n_files = total, total + r.n, n_files + r.files
     before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = written.withColumn("before", before).select("path", "bucket", "before")
-    files = files.repartition(max(1, min(2000, spark.sparkContext.defaultParallelism * 4)), "path")
+    files = files.repartition(max(1, n_files), "path")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,19 +1,21 @@
 """Licence scans: an Aho-Corasick automaton finds identifier tags and notice phrases; a shunting-yard parser evaluates expressions.
 
 Notice phrases are found in the sequence of words, so any separators may stand between them. Behind an identifier tag
-(``SPDX-License-Identifier:``) stands an expression of identifiers, ``AND``, ``OR``, ``WITH``, ``+`` and parentheses; it is
-parsed up to the line's end into postfix form and evaluated twice: to the labels of its identifiers, and to whether
+(``SPDX-License-Identifier:``) stands an expression of identifiers, ``AND``, ``OR``, ``WITH``, ``+`` and parentheses; the longest
+beginning of the line's rest that is one (behind an opening quote, if any) is parsed into postfix form and evaluated twice: to the labels of its identifiers, and to whether
 the licences it asks for are permitted (``AND``: both, ``OR``: either, ``WITH``: the licence's own answer).
 
-Edge cases: null texts are empty; an empty text has no words, no labels and score 0; an expression that doesn't parse gives the
+Edge cases: null texts are empty; an empty text has no words, no labels and score 0; a tag that no expression follows gives the
 label ``unparsed``; repeated rows give equal rows.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -94,6 +96,35 @@ def to_postfix(expression: str) -> list[str]:
     return out
 
 
+def parsed_beginning(text: str) -> list[str]:
+    """Postfix form of the longest beginning of text that is an expression. Operators and operands must take turns, so it ends at the first token that can't follow."""
+    ends, at, operand_next, depth = [], 0, True, 0
+    while m := _TOKEN.match(text, at):
+        token = (m[1] or m[2]).lower()
+        if token == "(":
+            if not operand_next:
+                break
+            depth += 1
+        elif token == ")":
+            if operand_next or not depth:
+                break
+            depth -= 1
+        elif token in _BINDS:
+            if operand_next:
+                break
+            operand_next = True
+        elif operand_next:
+            operand_next = False
+        else:
+            break
+        at = m.end()
+        if not operand_next and not depth:
+            ends.append(at)
+    if not ends:
+        raise ExpressionError("no operand")
+    return to_postfix(text[: ends[-1]].rstrip(".:-"))
+
+
 def label_of(identifier: str) -> str:
     name = identifier.lower().rstrip("+")
     return next((label for start, label in FAMILIES if name.startswith(start)), name)
@@ -140,8 +171,10 @@ def scan(text: str) -> tuple:
     labels: set[str] = set()
     spans: list[tuple[str, int]] = []
     miss = 1.0
+    starts: list[int] = []  # where each word stands in the line, once there is a match
     for end, (phrase, label, weight, is_base) in phrases.iter(line):
-        word = line.count(" ", 0, end - len(phrase) - 1)  # spaces before the one that opens the match
+        starts = starts or list(accumulate((len(w) + 1 for w in words[:-1]), initial=1))
+        word = bisect_left(starts, end - len(phrase))  # the match opens with the space behind the word before, at end - len(phrase) - 1
         spans.append((label, word))
         labels.add(label)
         miss *= 1 - weight
@@ -151,9 +184,9 @@ def scan(text: str) -> tuple:
     expressions, permitted = [], None
     for end, _ in tags.iter(low) if "spdx" in low else ():
         stop = low.find("\n", end)
-        raw = text[end + 1 : stop if stop >= 0 else len(text)].strip().removesuffix("*/").removesuffix("-->").strip()
+        raw = text[end + 1 : stop if stop >= 0 else len(text)].lstrip(" \t\"'`*")
         try:
-            postfix = to_postfix(raw)
+            postfix = parsed_beginning(raw)
             found, ok = evaluate(postfix)
             expressions.append(" ".join(postfix))
         except ExpressionError:

@@ -2,11 +2,13 @@
 
 Only the histogram (at most ``capacity`` numbers) reaches the driver. There, multiplicative weights solve the covering
 program "use configurations, each a multiset of lengths of at most ``capacity`` tokens, so that every length's pieces are
-placed, with as few configurations as possible": weights of lengths fall as they are covered, and a knapsack dynamic program
-prices the best configuration. The fractional solution is rounded down, never above the demand, and the rest is solved
-anew; what remains after the last round goes by best fit, decreasing, on counts. Prices start from the lengths' shares of
-a sequence, which are optimal where nothing need be wasted; the weights raise them by at most ``RATE``, long lengths
-most, as these are the hardest to place late. The plan says for each
+placed, with as few configurations as possible". Lengths have weights, the program's dual prices; a knapsack dynamic program finds the
+configuration of the greatest price, it is used for a step, and the weights of its lengths fall by what share of their demand it
+covers. Demand over the greatest price is a lower bound of the program at any time. Turns begin from the lengths' shares of a
+sequence. In the first, a step ends with a length's whole demand; there are at most as many as lengths. Later turns take smaller
+steps, until the number of sequences is within ``GAP`` of the bound or all of ``STEP_SIZES`` are done; ``solve`` reports the bound. The fractional solution is
+rounded down, never above the demand; the rest goes by best fit, decreasing, on counts. The best of the turns' plans is used, and
+never more sequences than best fit alone makes. The plan says for each
 length which ranks go to which configurations, so every piece finds its place by its rank among the pieces of its length:
 no sequence is built on the driver, and no length's pieces meet in one task.
 
@@ -16,6 +18,7 @@ itself; no documents give no rows.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -30,8 +33,12 @@ from vellum.llm.common import arrow_schema, materialize, small_batches
 from vellum.llm.tokens import encoder, vocabulary_path
 
 CAPACITY = 2048
-#: Steps of multiplicative weights in a round, rounds of rounding, and the step's size.
-STEPS, ROUNDS, RATE = 300, 2, 0.1
+#: Largest share of a length's demand that a step covers, turn by turn; how near the bound a plan must come for an early end.
+STEP_SIZES, GAP = (1.0, 0.3, 0.1, 0.05), 0.001
+#: Knapsack tables and steps of a later turn at most; a turn that needs more ends there with what it has, and the bound tells how good that is.
+TABLES, STEPS = 200, 10_000
+#: Vector operations of a knapsack over single lengths above which it is computed over capacities.
+FEW_OPERATIONS = 256
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, nth long"
 
@@ -60,80 +67,170 @@ def token_pieces(docs: DataFrame, *, text: str = "text", key: str = "doc_id", ca
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
-def best_configuration(lengths: np.ndarray, prices: np.ndarray, most: np.ndarray, capacity: int) -> dict[int, int]:
-    """Knapsack by dynamic programming over the capacity: a configuration of the greatest price, no length more often than ``most``."""
-    best = np.zeros(capacity + 1)
-    pick = np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    sizes, worth = lengths[order], prices[order]
-    fits = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(1, capacity + 1):
-        best[c], pick[c] = best[c - 1], -2
-        k = fits[c]
-        if k:
-            got = best[c - sizes[:k]] + worth[:k]
+class Knapsack:
+    """The greatest price of a multiset of lengths for every capacity, by dynamic programming; prices has 0 for lengths that don't count."""
+
+    def __init__(self, prices: np.ndarray) -> None:
+        self.prices, top = prices, len(prices) - 1
+        lengths = np.flatnonzero(prices)
+        times = [1 << j for n in lengths.tolist() for j in range((top // n).bit_length())]
+        of = [n for n in lengths.tolist() for _ in range((top // n).bit_length())]
+        self.taken: list[tuple[int, int, np.ndarray]] = []
+        if len(of) <= FEW_OPERATIONS:
+            # 1, 2, 4 ... of a length at a time.
+            self.best = np.zeros(top + 1)
+            for n, k in zip(of, times, strict=True):
+                if n * k <= top:
+                    got = self.best[: top + 1 - n * k] + k * prices[n]
+                    better = got > self.best[n * k :] + 1e-15
+                    self.best[n * k :] = np.where(better, got, self.best[n * k :])
+                    self.taken.append((n, k, better))
+            return
+        # A multiset of several lengths is two smaller ones, of which one has at most half of the capacity.
+        self.best, self.split = prices.copy(), np.zeros(top + 1, np.int32)
+        for c in range(2, top + 1):
+            half = c // 2
+            got = self.best[1 : half + 1] + self.best[c - 1 : c - half - 1 : -1]
             i = int(got.argmax())
-            if got[i] > best[c] + 1e-15:
-                best[c], pick[c] = got[i], i
-    out: Counter[int] = Counter()
-    c = capacity
-    while c > 0 and pick[c] != -1:
-        if pick[c] == -2:
-            c -= 1
-            continue
-        i = pick[c]
-        if out[int(sizes[i])] < most[order[i]]:
-            out[int(sizes[i])] += 1
-        c -= int(sizes[i])
-    return fill(out, dict(zip(lengths.tolist(), most.tolist(), strict=True)), capacity)
-
-
-def fill(configuration: Counter[int], most: dict[int, int], capacity: int) -> dict[int, int]:
-    """Put further pieces that there are into what is left, the longest that fits first."""
-    left = capacity - sum(n * k for n, k in configuration.items())
-    for n in sorted(most, reverse=True):
-        if n <= left and (k := min(left // n, most[n] - configuration[n])) > 0:
-            configuration[n] += k
-            left -= n * k
-    return {n: k for n, k in configuration.items() if k}
-
-
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, steps: int = STEPS, rounds: int = ROUNDS) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used; together they place exactly the histogram's pieces."""
+            if got[i] > self.best[c] + 1e-15:
+                self.best[c], self.split[c] = got[i], i + 1
+
+    def configuration(self, capacity: int) -> Counter[int]:
+        """A multiset of the greatest price."""
+        out: Counter[int] = Counter()
+        if self.taken:
+            for n, k, better in reversed(self.taken):
+                if capacity >= n * k and better[capacity - n * k]:
+                    out[n] += k
+                    capacity -= n * k
+            return out
+        open_ = [capacity]
+        while open_:
+            c = open_.pop()
+            if self.split[c]:
+                open_ += [int(self.split[c]), c - int(self.split[c])]
+            elif self.prices[c] > 0:
+                out[c] += 1
+        return out
+
+
+class Program:
+    """min sum x over configurations that cover the demand, by multiplicative weights. ``bound``: no solution has fewer, rounded or not."""
+
+    def __init__(self, histogram: dict[int, int], capacity: int) -> None:
+        self.capacity, self.lengths = capacity, np.array(sorted(histogram))
+        self.demand = np.array([histogram[n] for n in self.lengths.tolist()], float)
+        self.index = {n: i for i, n in enumerate(self.lengths.tolist())}
+        self.keys: dict[tuple[tuple[int, int], ...], int] = {}
+        self.rows = np.zeros((64, len(self.lengths)))
+        self.bound = 0.0
+
+    def knapsack(self, weights: np.ndarray) -> Knapsack:
+        prices = np.zeros(self.capacity + 1)
+        prices[self.lengths] = weights
+        return Knapsack(prices)
+
+    def row(self, configuration: Counter[int]) -> int:
+        key = tuple(sorted(configuration.items()))
+        if key not in self.keys:
+            i = self.keys[key] = len(self.keys)
+            if i == len(self.rows):
+                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
+            for n, k in key:
+                self.rows[i, self.index[n]] = k
+        return self.keys[key]
+
+    def whole_lengths(self) -> np.ndarray:
+        """The first turn: each step covers what is left of some length. Of one table comes the best configuration with any given length."""
+        weights, left = self.lengths / self.capacity, self.demand.copy()
+        amounts: dict[int, float] = {}
+        while (left > 0).any():
+            prices = np.where(left > 0, weights, 0.0)
+            table = self.knapsack(prices)
+            top = table.best[self.capacity]
+            if not amounts:
+                self.bound = max(self.bound, float(prices @ self.demand) / top)
+            worth = np.where(left > 0, prices + table.best[self.capacity - self.lengths], 0.0)
+            order = np.argsort(-worth, kind="stable")
+            for i in order[worth[order] >= top * (1 - 1e-6)].tolist():
+                if left[i] <= 0:
+                    continue
+                found = table.configuration(self.capacity - int(self.lengths[i]))
+                found[int(self.lengths[i])] += 1
+                j = self.row(found)
+                on = self.rows[j] > 0
+                if (left[on] <= 0).any():
+                    continue
+                step = float((left[on] / self.rows[j, on]).min())
+                amounts[j] = amounts.get(j, 0.0) + step
+                left[on] -= step * self.rows[j, on]
+                left[left < 1e-9] = 0.0
+                weights = weights * np.exp(-step * self.rows[j] / self.demand)
+        return np.array([amounts.get(j, 0.0) for j in range(len(self.keys))])
+
+    def small_steps(self, size: float) -> np.ndarray:
+        """A later turn: until all demand is covered several times, of which the first third is left out; scaled to cover it once."""
+        weights, covered = self.lengths / self.capacity, np.zeros(len(self.lengths))
+        goal = 3 * math.log(len(self.lengths) + 1) + 3
+        amounts, top, early, tables, steps = np.zeros(len(self.rows)), math.inf, None, 0, 0
+        while covered.min() < goal and steps < STEPS:
+            steps += 1
+            worth = self.rows[: len(self.keys)] @ weights
+            j = int(worth.argmax())
+            if worth[j] < (1 - size / 4) * top:  # weights only fall, so top is no less than the greatest price
+                if tables == TABLES:
+                    break
+                tables += 1
+                table = self.knapsack(weights)
+                top = table.best[self.capacity]
+                self.bound = max(self.bound, float(weights @ self.demand) / top)
+                j = self.row(table.configuration(self.capacity))
+                amounts = np.pad(amounts, (0, len(self.rows) - len(amounts)))
+            on = self.rows[j] > 0
+            step = size * float((self.demand[on] / self.rows[j, on]).min())
+            amounts[j] += step
+            share = step * self.rows[j] / self.demand
+            covered += share
+            weights = weights * np.exp(-share)
+            if early is None and covered.min() >= goal / 3:
+                early = amounts.copy(), covered.copy()
+        if early is not None:
+            amounts, covered = amounts - np.pad(early[0], (0, len(amounts) - len(early[0]))), covered - early[1]
+        return amounts[: len(self.keys)] / max(float(covered.min()), 1.0)
+
+    def rounded(self, amounts: np.ndarray) -> list[tuple[dict[int, int], int]]:
+        """Whole numbers of configurations that place the demand exactly: the amounts rounded down, the rest by best fit."""
+        left = {n: int(d) for n, d in zip(self.lengths.tolist(), self.demand.tolist(), strict=True)}
+        plan = []
+        keys = list(self.keys)
+        for j in np.argsort(-amounts, kind="stable").tolist():
+            times = min(int(amounts[j] + 1e-9), min(left[n] // k for n, k in keys[j]))
+            if times > 0:
+                plan.append((dict(keys[j]), times))
+                for n, k in keys[j]:
+                    left[n] -= times * k
+        return plan + best_fit({n: k for n, k in left.items() if k}, self.capacity)
+
+
+def sequences(plan: list[tuple[dict[int, int], int]]) -> int:
+    return sum(k for _, k in plan)
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[dict[int, int], int]], float]:
+    """Configurations and how often each is used, which together place exactly the histogram's pieces; and a lower bound of their number."""
     left = {n: k for n, k in histogram.items() if k}
-    plan: list[tuple[dict[int, int], int]] = []
-    if left.get(capacity):
-        plan.append(({capacity: 1}, left.pop(capacity)))
-    for _ in range(rounds):
-        if sum(n * k for n, k in left.items()) < 4 * capacity:
+    full = left.pop(capacity, 0)
+    plan = [({capacity: 1}, full)] if full else []
+    if not left:
+        return plan, float(full)
+    program, best = Program(left, capacity), None
+    for size in STEP_SIZES:
+        made = program.rounded(program.whole_lengths() if size == 1 else program.small_steps(size))
+        best = made if best is None or sequences(made) < sequences(best) else best
+        if sequences(best) <= math.ceil(program.bound * (1 + GAP)):
             break
-        lengths = np.array(sorted(left))
-        demand = np.array([left[n] for n in lengths], float)
-        index = {n: i for i, n in enumerate(lengths.tolist())}
-        covered, weights = np.zeros(len(lengths)), np.ones(len(lengths))
-        pool: dict[tuple, float] = {}
-        for _ in range(steps):
-            open_ = covered < demand
-            if not open_.any():
-                break
-            prices = lengths * (1 + RATE * (weights / weights[open_].max()) * (lengths / capacity) ** 2)
-            room = np.ceil(demand - covered).astype(np.int64)
-            found = best_configuration(lengths[open_], prices[open_], room[open_], capacity)
-            at = np.array([index[n] for n in found])
-            often = np.array(list(found.values()), float)
-            step = float(((demand[at] - covered[at]) / often).min())
-            covered[at] += step * often
-            weights[at] *= np.exp(-step * often / demand[at])
-            key = tuple(sorted(found.items()))
-            pool[key] = pool.get(key, 0) + step
-        for key, amount in sorted(pool.items(), key=lambda x: (-x[1], x[0])):
-            times = min(int(amount + 1e-9), min(left.get(n, 0) // k for n, k in key))
-            if times:
-                plan.append((dict(key), times))
-                for n, k in key:
-                    left[n] -= times * k
-        left = {n: k for n, k in left.items() if k}
-    return plan + best_fit(left, capacity)
+    plain = best_fit(left, capacity)
+    return plan + (plain if sequences(plain) < sequences(best) else best), full + program.bound
 
 
 def best_fit(left: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -181,10 +278,14 @@ def places(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
 
 
 def pack(pieces: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to a written table of pieces (length, pid, nth, and any other columns)."""
+    """Add sequence_id and offset to a written table of pieces (length, pid, nth, and any other columns).
+
+    A task's ranks of a length begin where those of the tasks before it end. That is a number for each task and length, so no task or
+    driver holds them all: pieces meet their task's numbers in a join that Spark broadcasts only under its size threshold.
+    """
     counts = materialize(pieces.groupBy("pid", "length").agg(F.count("*").alias("n")), "pack-counts")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
-    where = places(solve(histogram, capacity))
+    where = places(solve(histogram, capacity)[0])
     before = Window.partitionBy("length").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).select("pid", "length", "base")
     ranked = pieces.join(bases, ["pid", "length"]).withColumn("nth", F.col("nth") + F.col("base")).drop("base", "pid")

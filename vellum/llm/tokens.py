@@ -2,7 +2,7 @@
 
 A byte-level BPE cuts a text into pieces by a pattern before it merges. Some piece borders show in the bytes: before the last
 space of a run that something visible follows, before a line end between visible characters, before a full stop or comma behind
-a letter or digit. Between two such borders a chunk's ids don't depend on its surroundings, and chunks repeat; so a worker
+a letter or digit. Texts that hold an added token's string (``<|endoftext|>``) go to the library whole, as it cuts there first. Between two such borders a chunk's ids don't depend on its surroundings, and chunks repeat; so a worker
 finds chunks and their hashes with array operations, has the library encode those it hasn't seen, and looks up
 the rest. Where a border is uncertain (beside characters that may be white space beyond ASCII) none is assumed. The memory is bounded by
 ``CACHE_CHUNKS`` chunks; when it is full, it starts anew from what the present texts need.
@@ -23,7 +23,7 @@ PART_BYTES = 512 << 10
 
 _U = np.uint64
 _SPACE = re.compile(r"\s")
-_encoders: dict[str, "Encoder"] = {}
+_encoders: dict[tuple[str, bool], "Encoder"] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -32,10 +32,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str) -> "Encoder":
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, special_as_text: bool = False) -> "Encoder":
+    if (path, special_as_text) not in _encoders:
+        _encoders[path, special_as_text] = Encoder(path, special_as_text)
+    return _encoders[path, special_as_text]
 
 
 def _is(*parts: bytes) -> np.ndarray:
@@ -76,15 +76,19 @@ def chunk_starts(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """encode_batch(texts) -> ids as numpy uint32, equal to Tokenizer.encode(text, add_special_tokens=False).ids."""
+    """encode_batch(texts) -> ids as numpy uint32, equal to Tokenizer.encode(text, add_special_tokens=False).ids.
 
-    def __init__(self, path: str) -> None:
+    special_as_text: strings of special tokens in a text are ordinary text and don't get the special tokens' ids.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.kind = np.uint32 if self.wide else np.uint16
         self.line_end = self.tokenizer.encode("\n", add_special_tokens=False).ids[0]
@@ -174,6 +178,15 @@ class Encoder:
             new, slot = new[out], (slot[out] + _U(1)) & _U(SLOTS - 1)
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        cut = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not cut:
+            return self._encode_plain(texts)
+        out = self._encode_plain(["" if any(a in t for a in self.added) else t for t in texts])
+        for i in cut:
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
         held: list[bytes] = []
         size = 0

@@ -3,12 +3,13 @@
 ``write_archives`` decides which of the records with equal payloads is the response, writes ``*.warc.gz`` (a gzip member
 per record) and returns what it wrote. ``read_archives`` parses them back. ``index_captures`` makes the capture index:
 each file's captures form a locally sorted run; loser trees merge at most ``FAN_IN`` runs at a time by (URL key, timestamp,
-page id); the last pass cuts the keys into ranges that are merged side by side. The whole key cuts the ranges, so one URL
-with a third of all captures is merged by many tasks. Every run and archive lies in the shared folder under a name of its
+page id). Every pass cuts the keys of each group of runs into ranges that are merged side by side, so a pass has about as many tasks
+as there are ``RANGE_ROWS`` captures, however few its groups; the merged run is the list of its ranges' files. The whole key cuts the ranges, so one URL
+with a third of all captures is merged by many tasks. Every file of a run and archive lies in the shared folder under a name of its
 own; only those that a written row names count, so lost or repeated tasks leave no trace in the result.
 
 Edge cases: null html is an empty payload; a null url is the empty URL key; null page ids sort first and are kept; repeated
-(page, payload) rows each get a record, and those after the first refer to it; an empty table gives no files and no rows.
+rows of the largest page id are all responses, as are all rows of a payload whose page ids are all null; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -38,8 +39,9 @@ ARCHIVE_BYTES, FAN_IN, BLOCK_ROWS, OFFERED, RANGE_ROWS = 16 << 20, 64, 2048, 32,
 #: The first capture's time where the pages have no date column: page ids count seconds from here.
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc)
 
+RANGE = "g long, i int, low string, high string, runs array<array<struct<path:string,first:string>>>"
 CAPTURE = "url_key string, timestamp string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, offset long, length long"
-RUN = "path string, n long, offered string"
+RUN = "files array<struct<path:string,first:string>>, n long, offered array<string>"
 
 
 def url_key(url: str) -> str:
@@ -81,7 +83,6 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, date: str | None =
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_fs(folder)
         run, seq, out, name, n, at = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex[:12]}", 0, None, "", 0, 0
-        given: set[tuple] = set()
 
         def done() -> pa.RecordBatch:
             out.close()
@@ -92,11 +93,8 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, date: str | None =
                 if out is None:
                     name, n, at = f"pages-{run}-{seq:04d}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
-                payload = html.encode()
-                revisits = response is not None and (page != response or (page, payload) in given)
-                if response is not None and page == response:
-                    given.add((page, payload))
-                data = gzip.compress(record(page, url, date, payload, response if revisits else None), 5, mtime=0)
+                revisits = response is not None and page != response
+                data = gzip.compress(record(page, url, date, html.encode(), response if revisits else None), 5, mtime=0)
                 out.write(data)
                 n, at = n + 1, at + len(data)
                 if at >= ARCHIVE_BYTES:
@@ -182,8 +180,8 @@ def read_archives(written: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, *columns: str) -> DataFrame:
-    """One row of files a task, or a few."""
-    return df.select(*columns).repartition(max(1, min(4000, df.sparkSession.sparkContext.defaultParallelism * 8)), *columns)
+    """A written table's rows of files, a task for each, or for a few."""
+    return df.select(*columns).repartition(max(1, df.count()), *columns)
 
 
 class LoserTree:
@@ -243,6 +241,18 @@ def write_run(uri: str, rows: Iterator[tuple], schema: pa.Schema) -> tuple[int,
     return n, firsts
 
 
+def inside(files: list[dict], low: tuple | None, high: tuple | None) -> list[dict]:
+    """Those of a run's files that may hold keys from low, before high."""
+    firsts = [tuple(json.loads(f["first"])) for f in files]
+    return [f for i, f in enumerate(files) if (high is None or firsts[i] < high) and (low is None or i + 1 == len(files) or firsts[i + 1] >= low)]
+
+
+def read_files(files: list[dict], low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple]:
+    """(key, row) of a run of several files from low, before high."""
+    for f in inside(files, low, high):
+        yield from read_run(f["path"], low, high)
+
+
 def read_run(uri: str, low: tuple | None = None, high: tuple | None = None) -> Iterator[tuple]:
     """(key, row) of a run from low, before high; blocks outside aren't decoded beyond the one where the search ends."""
     fs, path = open_fs(uri)
@@ -262,9 +272,15 @@ def read_run(uri: str, low: tuple | None = None, high: tuple | None = None) -> I
                     yield key, row
 
 
-def offered(firsts: list[tuple]) -> str:
-    at = np.unique(np.linspace(0, len(firsts) - 1, min(OFFERED, len(firsts))).astype(int)) if firsts else []
-    return json.dumps([firsts[i] for i in at])
+def some_of(keys: list[str], most: int) -> list[str]:
+    return [keys[i] for i in np.unique(np.linspace(0, len(keys) - 1, min(most, len(keys))).astype(int))] if keys else []
+
+
+def cuts_of(keys: list[str], n: int) -> list[tuple]:
+    """Keys that cut n rows into ranges of about ``RANGE_ROWS``, from a sample of them."""
+    ordered = sorted(tuple(json.loads(k)) for k in keys)
+    ranges = max(1, min(len(ordered), n // RANGE_ROWS))
+    return sorted({ordered[len(ordered) * i // ranges] for i in range(1, ranges)})
 
 
 def index_captures(written: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
@@ -272,34 +288,55 @@ def index_captures(written: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
     spark: SparkSession = written.sparkSession
     small_batches(spark)
     folder, schema, run_schema = scratch(spark, "warc-runs"), arrow_schema(spark, CAPTURE), arrow_schema(spark, RUN)
+    range_schema = arrow_schema(spark, RANGE)
     make_dir(folder)
 
-    def run_row(rows: Iterator[tuple]) -> pa.RecordBatch:
+    def file_row(rows: Iterator[tuple]) -> dict | None:
         path = f"{folder}/run-{uuid.uuid4().hex}.arrow"
         n, firsts = write_run(path, rows, schema)
-        return pa.RecordBatch.from_pylist([{"path": path, "n": n, "offered": offered(firsts)}], run_schema)
+        keys = [json.dumps(k) for k in firsts]
+        return {"files": [{"path": path, "first": keys[0]}], "n": n, "offered": some_of(keys, OFFERED)} if n else None
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                yield run_row(iter(sorted((capture(data, path, offset, length) for offset, length, data in members(path)), key=sort_key)))
+                made = file_row(iter(sorted((capture(data, path, offset, length) for offset, length, data in members(path)), key=sort_key)))
+                if made:
+                    yield pa.RecordBatch.from_pylist([made], run_schema)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for paths in batch.column(0).to_pylist():
-                yield run_row(row for _, row in LoserTree([read_run(p) for p in paths]))
+            for g, files, n, offered in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                cuts = [json.dumps(c) for c in cuts_of([k for o in offered for k in o], n)]
+                for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
+                    within = [inside(f, low and tuple(json.loads(low)), high and tuple(json.loads(high))) for f in files]
+                    yield pa.RecordBatch.from_pylist([{"g": g, "i": i, "low": low, "high": high, "runs": [f for f in within if f]}], range_schema)
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                low, high = (tuple(json.loads(x)) if x else None for x in (r["low"], r["high"]))
+                made = file_row(row for _, row in LoserTree([read_files(f, low, high) for f in r["runs"]]))
+                if made:
+                    yield pa.RecordBatch.from_pylist([{"g": r["g"], "i": r["i"], **made}], merged_schema)
+
+    merged_ddl = f"g long, i int, {RUN}"
+    merged_schema = arrow_schema(spark, merged_ddl)
     runs = materialize(spread(written, "path").mapInArrow(local, RUN), "warc-run-list")
     while (k := runs.count()) > fan_in:
-        group = F.pmod(F.xxhash64("path"), F.lit(-(-k // (fan_in // 2))))
-        groups = runs.groupBy(group.alias("g")).agg(F.collect_list("path").alias("paths"))  # about fan_in / 2 names a group
-        runs = materialize(spread(groups, "paths").mapInArrow(merge, RUN), "warc-run-list")
-    final = runs.collect()  # at most fan_in rows
-    keys = sorted(tuple(k) for r in final for k in json.loads(r.offered))
-    ranges = int(min(len(keys), max(1, sum(r.n for r in final) // RANGE_ROWS), 2000)) or 1
-    cuts = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)})
+        # About fan_in / 2 runs a group: lists of their files, which grow with the merged captures, a name for RANGE_ROWS of them.
+        group = F.pmod(F.xxhash64(F.col("files")[0]["path"]), F.lit(-(-k // (fan_in // 2))))
+        groups = runs.groupBy(group.alias("g")).agg(F.collect_list("files").alias("files"), F.sum("n").alias("n"), F.collect_list("offered").alias("offered"))
+        ranges = materialize(groups.mapInArrow(cut, RANGE), "warc-ranges")
+        merged = materialize(spread(ranges, "g", "i", "low", "high", "runs").mapInArrow(merge, merged_ddl), "warc-merged")
+        each = merged.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("i", "files", "offered"))).alias("parts"), F.sum("n").alias("n"))
+        keep = F.flatten(F.transform("parts", lambda p: p["offered"]))
+        every = F.greatest(F.lit(1), F.floor(F.size(keep) / (OFFERED * 16)).cast("int"))
+        runs = materialize(each.select(F.flatten(F.transform("parts", lambda p: p["files"])).alias("files"), "n", F.filter(keep, lambda _, i: i % every == 0).alias("offered")), "warc-run-list")
+    final = runs.select("n", "offered").collect()  # at most fan_in rows of some hundred keys
+    cuts = cuts_of([k for r in final for k in r.offered], sum(r.n for r in final))
     bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
-    paths = [r.path for r in final if r.n]
+    paths = [[f.asDict() for f in r.files] for r in runs.select("files").collect()]  # a name for RANGE_ROWS captures
     out_schema = arrow_schema(spark, f"range_id int, {CAPTURE}, history long")
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +347,7 @@ def index_captures(written: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
                 if high is not None:
                     start = (high[0], "", -1 << 63)
                     start = start if low is None else max(start, low)
-                    n = sum(1 for p in paths for _ in read_run(p, start, high))
+                    n = sum(1 for p in paths for _ in read_files(p, start, high))
                 yield pa.RecordBatch.from_pydict({"i": pa.array([i], pa.int32()), "n": pa.array([n], pa.int64())})
 
     def merge_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,7 +356,7 @@ def index_captures(written: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
                 low, high = bounds[i]
                 before = carried[i]
                 url, held = None if low is None else low[0], []
-                for _, row in LoserTree([read_run(p, low, high) for p in paths]):
+                for _, row in LoserTree([read_files(p, low, high) for p in paths]):
                     before = before if row[0] == url else 0
                     url = row[0]
                     held.append((i, *row, before))

@@ -10,19 +10,20 @@ fingerprints.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import arrow_schema, small_batches
+from vellum.llm.common import arrow_schema, range_cuts, small_batches
 
 #: Characters of a gram (a power of two) and grams of a window (a power of two): every shared passage of 31 characters is found.
 GRAM, WINDOW = 16, 16
-#: Documents that a range of the neighbour query holds on average, and ranges at most.
-RANGE_DOCS, MAX_RANGES = 4000, 1024
+#: Documents of a range of the neighbour query, and ranges that a task gets, on average.
+RANGE_DOCS, TASK_RANGES = 1000, 4
 
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
@@ -100,33 +101,39 @@ def fingerprints(docs: DataFrame, *, text: str = "text", key: str = "doc_id", gr
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(make, ddl)
 
 
-def _range(key: Column, cuts: list[int], low: int = 0) -> Column:
-    """The number of the range that key is in, by binary search."""
-    if not cuts:
-        return F.lit(low)
-    m = len(cuts) // 2
-    return F.when(key < cuts[m], _range(key, cuts[:m], low)).otherwise(_range(key, cuts[m + 1 :], low + m + 1))
-
-
 def compare_with_next(docs: DataFrame, *, text: str = "text", key: str = "doc_id") -> DataFrame:
     """A row per document, against its half-replaced text and the next document in descending key order (after the last: the first).
 
-    Keys are cut into ranges; each range's rows meet in order, with the first row of the next range behind them, so a neighbour
-    is always at hand and no range is larger than a few thousand documents (equal keys stay together; null keys come last, ties by text).
+    Keys are cut into ranges in proportion to the rows (a number for each thousand documents reaches the driver); each range's
+    rows stream in order through a task, with the first row of the next range behind them, so a neighbour is always at hand and two texts
+    are held at a time. Null keys come last; equal keys are in descending order of their texts' hashes, which cut ranges, too.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    k = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    total = rows.count()
-    ranges = int(min(MAX_RANGES, -(-total // RANGE_DOCS)))
-    cuts = sorted(set(rows.select(F.percentile_approx(k, [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or [])) if ranges > 1 else []
-    rows = rows.withColumn("range", _range(k, cuts))
-    first = rows.groupBy("range").agg(F.max(k).alias("k")).orderBy("range").collect()  # at most MAX_RANGES rows
-    heads = spark.createDataFrame([(r.k, first[(i + 1) % len(first)].range) for i, r in enumerate(first)], "k long, to int")
-    ghosts = rows.join(F.broadcast(heads), k == F.col("k")).select("doc_id", "text", F.col("to").alias("range"), F.lit(True).alias("ghost"))
-    both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
-    dealt = both.repartition(max(1, ranges), "range").sortWithinPartitions("range", "ghost", F.col("doc_id").desc_nulls_last(), "text")
+    rows = rows.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
+    keys = rows.select("k", "h")
+    ranges = -(-rows.count() // RANGE_DOCS)
+    cuts = range_cuts(keys, ranges)
+
+    @F.arrow_udf("int")
+    def range_of(k: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(cuts, x) for x in zip(k.to_pylist(), h.to_pylist(), strict=True)], pa.int32())
+
+    # The first of each range in the order of the query stands behind the range before it, and that of the highest behind the lowest.
+    first = {r.range: (r.top.k, r.top.h) for r in keys.withColumn("range", range_of("k", "h")).groupBy("range").agg(F.max(F.struct("k", "h")).alias("top")).collect()}  # a row a range
+    order = sorted(first)
+    heads = {}
+    for i, r in enumerate(order):
+        heads.setdefault(first[r], []).append(order[(i + 1) % len(order)])
+
+    @F.arrow_udf("array<int>")
+    def places_of(k: pa.Array, h: pa.Array) -> pa.Array:
+        """The row's range, and behind it the ranges that it stands behind."""
+        return pa.array([[bisect_right(cuts, x), *heads.get(x, ())] for x in zip(k.to_pylist(), h.to_pylist(), strict=True)], pa.list_(pa.int32()))
+
+    both = rows.select("doc_id", "text", "k", "h", F.posexplode(places_of("k", "h")).alias("at", "range")).withColumn("ghost", F.col("at") > 0)
+    dealt = both.repartition(max(1, -(-ranges // TASK_RANGES)), "range").sortWithinPartitions("range", "ghost", F.col("k").desc(), F.col("h").desc())
     ddl = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     schema = arrow_schema(spark, ddl)
 
