@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from vellum import catalog, catalog_delivery, catalog_records  # noqa: F401
+from vellum import catalog, catalog_delivery, catalog_evidence, catalog_records  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

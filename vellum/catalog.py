@@ -76,16 +76,16 @@ def interval_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(COLUMNS + "SELECT * FROM columns_", with_words=True)
 def column_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.column_ranges(layout.line_bands(source.words(spark, sf_dir)), source.WIDTH)
+    return layout.column_ranges(source.words(spark, sf_dir), source.WIDTH)
 
 
-@query(COLUMNS + """, placed2_ AS (SELECT w.*, c.col FROM banded w JOIN columns_ c ON c.doc_id = w.doc_id AND c.page = w.page AND (w.x0 + w.x1) / 2 >= c.low AND (w.x0 + w.x1) / 2 < c.high),
+@query(COLUMNS + """, last_ AS (SELECT doc_id, page, max(col) AS last FROM columns_ GROUP BY ALL),
+placed2_ AS (SELECT w.*, coalesce(c.col, l.last) AS col FROM banded w JOIN last_ l USING (doc_id, page) LEFT JOIN columns_ c ON c.doc_id = w.doc_id AND c.page = w.page AND (w.x0 + w.x1) / 2 >= c.low AND (w.x0 + w.x1) / 2 < c.high),
 seg_ AS (SELECT doc_id, page, col, band, min(x0) AS x0, min(top) AS top, max(x1) AS x1, max(bottom) AS bottom, string_agg(text, ' ' ORDER BY x0, vline, k) AS text FROM placed2_ GROUP BY ALL)
 SELECT *, substr(sha1(page || ':[' || CAST(round_even(x0, 0) AS BIGINT) || ', ' || CAST(round_even(top, 0) AS BIGINT) || ', ' || CAST(round_even(x1, 0) AS BIGINT) || ', ' || CAST(round_even(bottom, 0) AS BIGINT) || ']:' || sha1(text)), 1, 12) AS segment_id,
   CAST(row_number() OVER (PARTITION BY doc_id, page ORDER BY col, top, band) - 1 AS INTEGER) AS order_pos FROM seg_""", with_words=True)
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    banded = layout.line_bands(source.words(spark, sf_dir))
-    return layout.segments(banded, layout.column_ranges(banded, source.WIDTH))
+    return layout.segments(source.words(spark, sf_dir), source.WIDTH)
 
 
 EVIDENCE = """+
@@ -101,7 +101,7 @@ classes AS (SELECT *, CASE WHEN bad = 0 THEN 'native_text_sufficient' WHEN bad /
 
 
 def _classed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reliability.band_class(reliability.band_evidence(source.words(spark, sf_dir), source.WIDTH, source.HEIGHT))
+    return reliability.band_class(reliability.band_evidence(source.text_layer(source.words(spark, sf_dir)), source.WIDTH, source.HEIGHT))
 
 
 @query(EVIDENCE + "SELECT doc_id, page, band, chars, round(native_ratio, 6) AS native_ratio, gibberish, round(ink, 6) AS ink, kind, reason FROM classed", with_words=True)
@@ -167,8 +167,7 @@ def resolution_chain_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LOG + "SELECT key, count(*) AS records, arg_max(resolution_id, (seq, resolution_id)) AS resolution_id, arg_max(value, (seq, resolution_id)) AS value, arg_min(violation, (seq, resolution_id)) FILTER (violation IS NOT NULL) AS failed FROM chained GROUP BY key")
 def resolution_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.struct("seq", "resolution_id")
-    return review.chain(_log(spark, sf_dir)).groupBy("key").agg(F.count("*").alias("records"), F.max_by("resolution_id", at).alias("resolution_id"), F.max_by("value", at).alias("value"), F.min_by("violation", F.when(F.col("violation").isNotNull(), at)).alias("failed"))
+    return review.current(review.chain(_log(spark, sf_dir)))
 
 
 @query("SELECT o_custkey AS key, sha256(string_agg(o_orderkey || '=' || o_orderstatus, chr(10) ORDER BY o_orderkey || '=' || o_orderstatus)) AS digest FROM orders GROUP BY o_custkey")
@@ -189,11 +188,16 @@ def guard_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", picked.alias("selected"), review.guard_literal(picked, F.array("a", "b")).alias("verdict"))
 
 
-@query("""+ p AS (SELECT doc_id, page, regexp_replace(string_agg(text, ' ' ORDER BY vline, k), '[^A-Za-z0-9 .]', '', 'g') AS r FROM words GROUP BY ALL), q AS (SELECT *, replace(replace(r, 'e', ''), 'th', 't h') AS h FROM p)
+#: DuckDB measures distances in bytes: letters of more than one become control characters there, which the texts don't hold.
+_LETTERS = "èéêÈÉÊçÇíÍñÑóÓöÖüÜäÄßáàâîôûúÁ"
+_ONE_BYTE = "translate({}, '" + _LETTERS + "', " + " || ".join(f"chr({c})" for c in [*range(1, 10), *range(11, 32)][: len(_LETTERS)]) + ")"
+
+
+@query("+ p AS (SELECT doc_id, page, string_agg(text, ' ' ORDER BY vline, k) AS r FROM words GROUP BY ALL), q AS (SELECT doc_id, page, " + _ONE_BYTE.format("r") + " AS r, " + _ONE_BYTE.format("replace(replace(r, 'e', ''), 'th', 't h')") + """ AS h FROM p)
 SELECT doc_id, page, round(CASE WHEN length(r) > 0 THEN levenshtein(r, h) / length(r) WHEN length(h) = 0 THEN 0.0 ELSE 1.0 END, 6) AS cer FROM q""", with_words=True)
 def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("vline", "k", "text"))), lambda w: w["text"]), " ")
-    pages = source.words(spark, sf_dir).groupBy(*PAGE).agg(F.regexp_replace(text, "[^A-Za-z0-9 .]", "").alias("r"))
+    pages = source.words(spark, sf_dir).groupBy(*PAGE).agg(text.alias("r"))
     damaged = F.replace(F.replace("r", F.lit("e"), F.lit("")), F.lit("th"), F.lit("t h"))
     return pages.select(*PAGE, F.round(validate.character_error_rate(F.col("r"), damaged), 6).alias("cer"))
 

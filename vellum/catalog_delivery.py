@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.catalog import PAGE, RECALL, _read, query
-from vellum.operators import delivery, metrics, reconcile, validate
+from vellum.operators import delivery, identity, metrics, reconcile, validate
 from vellum.sources import words as source
 
 CAND = r"""WITH lines_ AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS id, unnest(string_split(text, chr(10))) AS text FROM documents),
@@ -27,7 +27,7 @@ def _best(name: str, other: str) -> str:
   SELECT a.doc_id, a.page, a.id, b.id AS other_id, {inner} / ({area} - {inner}) AS iou, b.text AS other_text, string_split(lower(a.text), ' ') AS ta, string_split(lower(b.text), ' ') AS tb FROM native_ a JOIN {other} b ON a.doc_id = b.doc_id AND a.page = b.page) WHERE iou >= 0.5) WHERE r = 1)"""
 
 
-ALIGNED = CAND + _best("al_", "layout_") + "," + _best("ao_", "ocr_") + """, aligned AS (SELECT n.doc_id, n.page, n.id, n.text AS native, l.other_id AS layout_id, l.iou AS iou_layout, l.other_text AS layout, o.other_id AS ocr_id, o.iou AS iou_ocr, o.other_text AS ocr
+ALIGNED = CAND + _best("al_", "layout_") + "," + _best("ao_", "ocr_") + """, aligned AS (SELECT n.doc_id, n.page, n.id, n.x0, n.top, n.x1, n.bottom, n.text AS native, l.other_id AS layout_id, l.iou AS iou_layout, l.other_text AS layout, o.other_id AS ocr_id, o.iou AS iou_ocr, o.other_text AS ocr
   FROM native_ n LEFT JOIN al_ l USING (doc_id, page, id) LEFT JOIN ao_ o USING (doc_id, page, id))"""
 _CMP = lambda c: rf"trim(regexp_replace(translate({c}, '“”‘’', '""'''''), '[ \t\n\r]+', ' ', 'g'))"
 DECIDED = ALIGNED + f""", keyed_ AS (SELECT *, {_CMP('native')} AS n, {_CMP('layout')} AS a, {_CMP('ocr')} AS o FROM aligned),
@@ -54,7 +54,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     native, layout, ocr = _segments(spark, sf_dir)
-    out = native.select(*PAGE, "id", F.col("text").alias("native"))
+    out = native.select(*PAGE, "id", "x0", "top", "x1", "bottom", F.col("text").alias("native"))
     for name, other in (("layout", layout), ("ocr", ocr)):
         best = reconcile.align(native, other, PAGE).select(*PAGE, "id", F.col("other_id").alias(f"{name}_id"), F.col("iou").alias(f"iou_{name}"), F.col("other_text").alias(name))
         out = out.join(best, [*PAGE, "id"], "left")
@@ -62,8 +62,11 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _decided(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = reconcile.literal_decision(_aligned(spark, sf_dir).withColumn("ocr_conf", 100 - F.length("ocr") % 45))
-    return made.select(*PAGE, "id", F.round("confidence", 6).alias("confidence"), "method", "value", "reason")
+    return _made(spark, sf_dir).select(*PAGE, "id", F.round("confidence", 6).alias("confidence"), "method", "value", "reason")
+
+
+def _made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.literal_decision(_aligned(spark, sf_dir).withColumn("ocr_conf", 100 - F.length("ocr") % 45))
 
 
 @query(ALIGNED + " SELECT doc_id, page, id, layout_id, round(iou_layout, 6) AS iou_layout, ocr_id, round(iou_ocr, 6) AS iou_ocr, sha1(concat_ws(',', doc_id || '/' || page, 'layout:' || layout_id, 'native:' || id, 'ocr:' || ocr_id)) AS group_id FROM aligned")
@@ -84,11 +87,16 @@ def reconciliation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _decided(spark, sf_dir).groupBy("doc_id").agg(is_("method", "deterministic").alias("literal_deterministic"), is_("reason", "no_llm").alias("no_llm"), is_("reason", "below_threshold").alias("below_threshold"), is_("method", "review").alias("unresolved"))
 
 
-@query(DECIDED + " SELECT doc_id, page, id, reason, 'open' AS status, sha256(concat_ws(chr(10), doc_id, 'literal', page || ':' || id, '1.0')) AS applicability_key FROM decided WHERE method = 'review'")
+_REGION = """'{"candidates":' || to_json(list_sort(list_filter([native, layout, ocr], lambda v: v IS NOT NULL))) || ',"page":' || page || ',"regions":[[' || round(x0, 3) || ',' || round(top, 3) || ',' || round(x1, 3) || ',' || round(bottom, 3) || ']]}'"""
+
+
+@query(DECIDED + f""" SELECT doc_id, page, id, reason, 'open' AS status, sha256(concat_ws(chr(10), sha256(doc_id || ''), 'literal_content', {_REGION}, '{{"reconcile_confidence_threshold":0.75}}')) AS applicability_key FROM decided JOIN aligned USING (doc_id, page, id) WHERE method = 'review'""")
 def review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region = F.concat_ws(":", F.col("page").cast("string"), F.col("id").cast("string"))
-    key = reconcile.applicability_key(F.col("doc_id").cast("string"), F.lit("literal"), region, F.lit("1.0"))
-    return _decided(spark, sf_dir).where("method = 'review'").select(*PAGE, "id", "reason", F.lit("open").alias("status"), key.alias("applicability_key"))
+    rows = _made(spark, sf_dir).where("method = 'review'")
+    place = identity.region(F.col("page"), F.array(F.array("x0", "top", "x1", "bottom")), F.array_compact(F.array("native", "layout", "ocr")))
+    config = identity.json_object({"reconcile_confidence_threshold": F.lit("0.75")})
+    key = identity.applicability_key(F.sha2(F.col("doc_id").cast("string"), 256), F.lit("literal_content"), place, config)
+    return rows.select(*PAGE, "id", "reason", F.lit("open").alias("status"), key.alias("applicability_key"))
 
 
 ORDERS = """WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text), turn) AS r FROM conversations),

@@ -123,7 +123,3 @@ def order_decision(tau: Column) -> Column:
 def guard_order(selected: Column, candidates: Column, geometry: Column) -> Column:
     """Accepted only if equal to a candidate's order or the geometric one, element by element; never sorted to fit."""
     return F.when(F.array_contains(candidates, selected) | (selected == geometry), "accept").otherwise("reject")
-
-
-def applicability_key(source: Column, kind: Column, region: Column, config: Column) -> Column:
-    return F.sha2(F.concat_ws("\n", source, kind, region, config), 256)

@@ -14,17 +14,15 @@ MOJIBAKE = "[ÂÃ][\\x{80}-\\x{BF}]"
 def band_evidence(words: DataFrame, width: float, height: float) -> DataFrame:
     """Per page and band (by the middle of each word): characters, share of native area, mojibake matches, and ink.
 
-    The page's ink stands in for a raster: every seventh document is a scan whose native text is lost but for one word in nine.
+    words: with native (whether the text layer has the word) and shown (as which text). All words' area stands in for a raster's ink.
     """
     tall = height / BANDS
-    scan = (F.col("doc_id") % 7 == 0) & ((F.col("vline") + F.col("k")) % 9 != 0)
-    shown = F.when(F.col("doc_id") % 11 == 0, F.replace("text", F.lit("é"), F.lit("Ã©"))).otherwise(F.col("text"))
     area = (F.col("x1") - F.col("x0")) * (F.col("bottom") - F.col("top"))
     rows = words.withColumn("band", F.floor((F.col("top") + F.col("bottom")) / 2 / tall).cast("int")).where(f"band >= 0 and band < {BANDS}")
     return rows.groupBy(*PAGE, "band").agg(
-        F.sum(F.when(~scan, F.length("text")).otherwise(0)).cast("long").alias("chars"),
-        (F.sum(F.when(~scan, area).otherwise(0.0)) / (width * tall)).alias("native_ratio"),
-        F.sum(F.when(~scan, F.regexp_count(shown, F.lit(MOJIBAKE))).otherwise(0)).cast("long").alias("gibberish"),
+        F.sum(F.when(F.col("native"), F.length("text")).otherwise(0)).cast("long").alias("chars"),
+        (F.sum(F.when(F.col("native"), area).otherwise(0.0)) / (width * tall)).alias("native_ratio"),
+        F.sum(F.when(F.col("native"), F.regexp_count("shown", F.lit(MOJIBAKE))).otherwise(0)).cast("long").alias("gibberish"),
         (F.sum(area) / (width * tall)).alias("ink"),
     )
 

@@ -10,7 +10,7 @@ def chain(log: DataFrame) -> DataFrame:
     """log(key, seq, resolution_id, supersedes, value) with the first rule a record breaks.
 
     Rules in order: sequence numbers are unique in the store; a key's first record supersedes nothing; others supersede something;
-    that is the record right before.
+    that is the record right before. A key's chain is ordered in one task: decisions of people, few a key.
     """
     order = Window.partitionBy("key").orderBy("seq", "resolution_id")
     before = F.lag("resolution_id").over(order)
@@ -27,7 +27,8 @@ def chain(log: DataFrame) -> DataFrame:
 
 def current(chained: DataFrame) -> DataFrame:
     """Per key: the latest record, or the reason why the key fails closed."""
-    return chained.groupBy("key").agg(F.count("*").alias("records"), F.max_by("resolution_id", "seq").alias("resolution_id"), F.max_by("value", "seq").alias("value"), F.min_by("violation", F.when(F.col("violation").isNotNull(), F.col("seq"))).alias("failed"))
+    at = F.struct("seq", "resolution_id")  # numbers may repeat in a broken store
+    return chained.groupBy("key").agg(F.count("*").alias("records"), F.max_by("resolution_id", at).alias("resolution_id"), F.max_by("value", at).alias("value"), F.min_by("violation", F.when(F.col("violation").isNotNull(), at)).alias("failed"))
 
 
 def set_digest(keys: Column, values: Column) -> Column:
