@@ -93,8 +93,8 @@ ev_ AS (SELECT doc_id, page, CAST(floor((top + bottom) / 2 / 66.0) AS INTEGER) A
   CASE WHEN doc_id % 11 = 0 THEN replace(text, 'é', 'Ã©') ELSE text END AS shown, text, (x1 - x0) * (bottom - top) AS area FROM words),
 evidence AS (SELECT doc_id, page, band, CAST(sum(CASE WHEN NOT scan THEN length(text) ELSE 0 END) AS BIGINT) AS chars, sum(CASE WHEN NOT scan THEN area ELSE 0 END) / (612.0 * 66.0) AS native_ratio,
   CAST(sum(CASE WHEN NOT scan THEN len(regexp_extract_all(shown, '[ÂÃ][\\x{80}-\\x{BF}]')) ELSE 0 END) AS BIGINT) AS gibberish, sum(area) / (612.0 * 66.0) AS ink FROM ev_ WHERE band BETWEEN 0 AND 11 GROUP BY ALL),
-classed AS (SELECT *, CASE WHEN ink < 0.02 THEN 'blank' WHEN gibberish > 0 OR native_ratio < 0.015 THEN 'needs_ocr' ELSE 'native_ok' END AS kind,
-  CASE WHEN ink < 0.02 THEN NULL WHEN gibberish > 0 THEN 'encoding_gibberish' WHEN native_ratio < 0.015 AND chars = 0 THEN 'no_native_text' WHEN native_ratio < 0.015 THEN 'insufficient_native_coverage' END AS reason FROM evidence),
+classed AS (SELECT *, CASE WHEN chars > 0 AND gibberish > 0 THEN 'needs_ocr' WHEN chars > 0 AND ink >= 0.02 AND native_ratio < 0.015 THEN 'needs_ocr' WHEN chars > 0 THEN 'native_ok' WHEN ink < 0.02 THEN 'blank' ELSE 'needs_ocr' END AS kind,
+  CASE WHEN chars > 0 THEN CASE WHEN gibberish > 0 THEN 'encoding_gibberish' WHEN ink >= 0.02 AND native_ratio < 0.015 THEN 'insufficient_native_coverage' END WHEN ink >= 0.02 THEN 'no_native_text' END AS reason FROM evidence),
 classes AS (SELECT *, CASE WHEN bad = 0 THEN 'native_text_sufficient' WHEN bad / greatest(inked, 1) >= 0.85 THEN 'ocr_required' ELSE 'hybrid_native_and_ocr' END AS page_class
   FROM (SELECT doc_id, page, count(*) FILTER (kind = 'needs_ocr') AS bad, count(*) FILTER (kind <> 'blank') AS inked FROM classed GROUP BY ALL))
 """
@@ -114,7 +114,7 @@ def page_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reliability.page_class(_classed(spark, sf_dir))
 
 
-@query(EVIDENCE + """SELECT doc_id, page, -1 AS band, 0.0::DOUBLE AS top, 792.0::DOUBLE AS bottom, 'whole_page' AS reason FROM classes WHERE page_class = 'ocr_required'
+@query(EVIDENCE + """SELECT doc_id, page, -1 AS band, 0.0::DOUBLE AS top, 792.0::DOUBLE AS bottom, 'whole_page_native_text_unreliable' AS reason FROM classes WHERE page_class = 'ocr_required'
 UNION ALL SELECT c.doc_id, c.page, band, band * 66.0::DOUBLE, (band + 1) * 66.0::DOUBLE, reason FROM classed c SEMI JOIN (SELECT * FROM classes WHERE page_class = 'hybrid_native_and_ocr') p ON p.doc_id = c.doc_id AND p.page = c.page WHERE kind = 'needs_ocr'""", with_words=True)
 def ocr_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     classed = _classed(spark, sf_dir)

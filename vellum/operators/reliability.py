@@ -28,10 +28,11 @@ def band_evidence(words: DataFrame, width: float, height: float) -> DataFrame:
 
 
 def band_class(evidence: DataFrame) -> DataFrame:
-    bad = (F.col("gibberish") > 0) | (F.col("native_ratio") < COVERAGE)
-    reason = F.when(F.col("gibberish") > 0, "encoding_gibberish").when(F.col("chars") == 0, "no_native_text").otherwise("insufficient_native_coverage")
-    kind = F.when(F.col("ink") < BLANK, "blank").when(bad, "needs_ocr").otherwise("native_ok")
-    return evidence.withColumn("kind", kind).withColumn("reason", F.when(kind == "needs_ocr", reason))
+    text, inked = F.col("chars") > 0, F.col("ink") >= BLANK
+    reason = F.when(text & (F.col("gibberish") > 0), "encoding_gibberish").when(inked & ~text, "no_native_text").when(inked & (F.col("native_ratio") < COVERAGE), "insufficient_native_coverage")
+    # Wrong letters count however faint they are; text without ink has nothing to recover.
+    kind = F.when(reason.isNotNull(), "needs_ocr").when(text, "native_ok").otherwise("blank")
+    return evidence.withColumn("kind", kind).withColumn("reason", reason)
 
 
 def page_class(classed: DataFrame) -> DataFrame:
@@ -44,7 +45,7 @@ def page_class(classed: DataFrame) -> DataFrame:
 def ocr_regions(classed: DataFrame, pages: DataFrame, height: float) -> DataFrame:
     """One region for a page that needs OCR as a whole, else one per bad band."""
     tall = height / BANDS
-    whole = pages.where("page_class = 'ocr_required'").select(*PAGE, F.lit(-1).alias("band"), F.lit(0.0).alias("top"), F.lit(height).alias("bottom"), F.lit("whole_page").alias("reason"))
+    whole = pages.where("page_class = 'ocr_required'").select(*PAGE, F.lit(-1).alias("band"), F.lit(0.0).alias("top"), F.lit(height).alias("bottom"), F.lit("whole_page_native_text_unreliable").alias("reason"))
     parts = classed.where("kind = 'needs_ocr'").join(pages.where("page_class = 'hybrid_native_and_ocr'").select(*PAGE), PAGE, "left_semi")
     return whole.unionByName(parts.select(*PAGE, "band", (F.col("band") * tall).alias("top"), ((F.col("band") + 1) * tall).alias("bottom"), "reason"))
 
