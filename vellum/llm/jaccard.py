@@ -11,15 +11,23 @@ words are found by one shuffle of (word, set). What an equal word proves is weak
   last with its empty words. A pair is lost only where both have more, and then both have the next seed. So a pair
   shares at least 0.3 E + 1 words that were sent, and a set that shares fewer with anyone is dropped from the scheme.
 * A word that more than ``HOT`` sets share is hot. A pair with at most 0.3 E hot words on either side still has an equal
-  word that isn't hot, so hot words count only between sets that both have more: these are large groups of near copies, whose
-  members link to the group's first member, one link each.
+  word that isn't hot, so hot words count only between sets that both have more.
 
-Candidates are verified exactly on the sets, after a Hamming test on one-bit-per-element parity sketches. The first checks are stars (each
-set against the first of its group); then only pairs of a group that are in different components are left, and all of those are
-checked. Equal sets are one set from the start, so copies cost nothing.
+Each word's sets have a centre c, the one with the most shared words. First every set is checked against its best centre; words whose
+sets are then in one component are done. The sets of the others aren't paired with each other, as a large group of near copies would
+make rows with the square of its size. Each is replaced by its difference from the centre, d(x) = x ^ c, since x ^ y = d(x) ^ d(y):
+
+* x and c are similar exactly if d(x) is small enough. If d(x) and d(y) together are, both are similar to c.
+* Any other similar pair must share elements of d(x) and d(y), at least o = (|d(x)| + |d(y)| - D(x, y)) / 2 of them. With the
+  elements in order of how few sets of the centre have them, one stands among the first |d(x)| - o + 1 of x and |d(y)| - o + 1 of y.
+  As one of the two isn't similar to c, the other's prefix is about the first half of its difference: what it alone has.
+
+Both ends' places of the shared element bound the overlap, too; pairs that it leaves are verified exactly on the sets, after a
+Hamming test on one-bit-per-element parity sketches. Equal sets are one set from the start, so copies cost nothing.
 
 Edge cases: null or empty texts and texts without words have no shingles and link with nothing; fewer words than k are one
-shingle; repeated rows are equal sets; a null key takes part and never names a component unless all its keys are null.
+shingle; repeated rows are equal sets; a null key takes part and never names a component unless all its keys are null; sets of any
+size have a band (``Bands`` goes on beyond 2^31 elements).
 """
 
 from __future__ import annotations
@@ -31,14 +39,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import ARROW_ROWS, materialize, small_batches
+from vellum.llm.common import ARROW_ROWS, discard, materialize, small_batches
 from vellum.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
-#: Turns of stars after the first.
-STARS = 4
-#: Sets that share a word before it counts as hot; seeds; growth of size bands; bits of the parity sketch of the check; ids sent to all tasks at most.
-HOT, SEEDS, BAND, SKETCH_BITS, SENT_IDS = 32, 3, 1.4, 1024, 1_000_000
+#: Sets that share a word before it counts as hot; seeds; growth of size bands; bits of the parity sketch of the check; sets that meet one copy of their centre.
+HOT, SEEDS, BAND, SKETCH_BITS, SHARE_ROWS = 32, 3, 1.4, 1024, 500
 
 #: Bytes of text handled at once.
 PART_BYTES, NARROW_ROWS = 512 << 10, 20_000
@@ -134,7 +140,7 @@ class Bands:
 
     def __init__(self, percent: int) -> None:
         self.percent, lows = percent, [1]
-        while len(lows) < 40:
+        while lows[-1] <= 1 << 32:  # fewer than 80 bands: a scheme's number is a byte
             lows.append(max(lows[-1] + 1, int(lows[-1] * BAND) + 1))
         self.lows = np.array(lows)
 
@@ -142,7 +148,7 @@ class Bands:
         return int(np.searchsorted(self.lows, n, side="right")) - 1
 
     def high(self, band: int) -> int:
-        return int(self.lows[band + 1]) - 1 if band + 1 < len(self.lows) else 1 << 31
+        return int(self.lows[band + 1]) - 1
 
     def differ(self, band: int) -> int:
         """D: elements that may differ in pairs whose smaller set is in the band."""
@@ -208,13 +214,11 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     small_batches(spark)
     narrow = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     bands = Bands(percent)
-    sketch = [f"h{i}" for i in range(SKETCH_BITS // 64)]
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = shingle_sets(batch.column(1).to_pylist(), k)
-            bits = np.packbits(np.array([parity(s) for s in made], np.uint8).reshape(-1, SKETCH_BITS), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([set_id(s) for s in made], pa.int64()), *(pa.array(np.ascontiguousarray(c)) for c in bits.T)], names=["doc_id", "n", "sid", *sketch])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in made], pa.int64()), pa.array([set_id(s) for s in made], pa.int64())], names=["doc_id", "n", "sid"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -231,30 +235,37 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64)), pa.array(np.concatenate(owners))], names=["word", "sid"])
 
-    ids = materialize(narrow.mapInArrow(sets, ", ".join(f"{c} long" for c in ("doc_id", "n", "sid", *sketch))), "jaccard-sets")
+    ids = materialize(narrow.mapInArrow(sets, "doc_id long, n long, sid long"), "jaccard-sets")
     shared = narrow.mapInArrow(words, "word long, sid long").repartition("word").sortWithinPartitions("word", "sid")
     stars = materialize(shared.mapInArrow(star_groups, "word long, first long, sid long, hot boolean"), "jaccard-stars", arrow_rows=NARROW_ROWS)
 
     # Sets that are linked share at least E + 1 words in a scheme, of which only as many are missing as may be empty; a set
     # with fewer shared words has no link there. Hot words count between sets that have many of them.
     scheme = F.shiftrightunsigned("word", 56).cast("int")
-    places = [x for band in range(39) for x in [bands.differ(band) + 1 + bands.spare(band) - bands.empty(band)] * SEEDS]
-    most = [x for band in range(39) for x in [bands.spare(band) - bands.empty(band)] * SEEDS]
+    every = range(len(bands.lows) - 1)
+    places = [x for band in every for x in [bands.differ(band) + 1 + bands.spare(band) - bands.empty(band)] * SEEDS]
+    most = [x for band in every for x in [bands.spare(band) - bands.empty(band)] * SEEDS]
     of = lambda numbers: F.element_at(F.array(*map(F.lit, numbers)), F.col("scheme") + 1)
     shares = materialize(stars.select("word", "sid", "hot").union(stars.groupBy("word").agg(F.first("first").alias("sid"), F.first("hot").alias("hot")).select("word", "sid", "hot")), "jaccard-shares")
+    discard(stars)
     counts = shares.groupBy("sid", scheme.alias("scheme")).agg(F.count("*").alias("n"), F.sum(F.col("hot").cast("int")).alias("h"))
     sizes = ids.where("n > 0").groupBy("sid").agg(F.max("n").alias("size"))
     # No partner differs in more than this from a set of its size, so at least so many words are shared.
     differ = F.floor((F.col("size") + F.floor(F.col("size") * 100 / percent)) * (100 - percent) / (100 + percent))
     counts = counts.join(sizes, "sid").withColumn("need", F.greatest(of(places) - differ, F.lit(1)))
-    good = materialize(counts.where("n >= need").select("sid", "scheme", "size", (F.col("n") - F.col("need") + 1).alias("prefix"), (F.col("h") > of(most)).alias("heavy")), "jaccard-good")
-    members = materialize(shares.withColumn("scheme", scheme).join(good, ["sid", "scheme"]).where("heavy or not hot").select("word", "sid", "size", "prefix"), "jaccard-members")
-    firsts = members.groupBy("word").agg(F.min("sid").alias("first"), F.max("sid").alias("other")).where("first <> other").select("word", "first")
-    pairs = materialize(members.join(firsts, "word").where("sid <> first").groupBy("first", "sid").agg(F.count("*").alias("shared")), "jaccard-pairs")
-
+    good = materialize(counts.where("n >= need").select("sid", "scheme", F.col("n").alias("words"), (F.col("h") > of(most)).alias("heavy")), "jaccard-good")
+    members = materialize(shares.withColumn("scheme", scheme).join(good, ["sid", "scheme"]).where("heavy or not hot").select("word", "sid", "words"), "jaccard-members")
+    discard(shares, good)
+
+    # Centres, and each set against its best one.
+    centres = members.groupBy("word").agg(F.max_by("sid", F.struct("words", "sid")).alias("c"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("word", "c")
+    centres = materialize(centres, "jaccard-centres")
+    tries = members.join(centres, "word").where("sid <> c").groupBy("c", "sid").agg(F.count("*").alias("shared"))
+    best = tries.groupBy("sid").agg(F.max_by("c", F.struct("shared", "c")).alias("c"))
+    best = materialize(best.select(F.least("c", "sid").alias("a"), F.greatest("c", "sid").alias("b")).distinct(), "jaccard-best")
     needed = members.select("sid").distinct()
-    chosen = materialize(ids.join(needed, "sid").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")), "jaccard-chosen")
-    contents = set_contents(narrow, chosen, k)
+    chosen = ids.join(needed, "sid").groupBy("sid").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))["doc_id"].alias("doc_id"))
+    contents = set_contents(narrow, materialize(chosen, "jaccard-chosen"), k)
 
     def verify(candidates: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar."""
@@ -268,63 +279,89 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
         return full.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
 
-    best = pairs.groupBy("sid").agg(F.max_by("first", F.struct("shared", -F.col("first").cast("decimal(20,0)"))).alias("first"))
-    done = materialize(best.select(F.least("first", "sid").alias("a"), F.greatest("first", "sid").alias("b")), "jaccard-tried")
-    links = materialize(verify(done), "jaccard-links")
+    links = materialize(verify(best), "jaccard-links")
+    discard(best)
     labels = materialize(components(links), "jaccard-labels")
 
-    def still_open() -> DataFrame:
-        """Members of words that sets of several components share: (word, sid, size, prefix, label, main), main the label of most."""
-        named = members.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        counted = named.groupBy("word", "label").agg(F.count("*").alias("n"))
-        mixed = counted.groupBy("word").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("word", "main")
-        return named.join(mixed, "word")
-
-    # Stars again, each time with another member of the word's largest component in the middle.
-    for turn in range(STARS):
-        open_ = materialize(still_open(), "jaccard-open")
-        middle = open_.where("label = main").groupBy("word").agg(F.min_by("sid", F.xxhash64("sid", F.lit(turn))).alias("m"))
-        tries = open_.where("label <> main").join(middle, "word").groupBy("sid", "m").agg(F.count("*").alias("shared"))
-        tries = tries.groupBy("sid").agg(F.max_by("m", F.struct("shared", F.xxhash64("m"))).alias("m")).select(F.least("sid", "m").alias("a"), F.greatest("sid", "m").alias("b"))
-        tries = materialize(tries.join(done, ["a", "b"], "left_anti").distinct(), "jaccard-tries")
-        found = materialize(verify(tries), "jaccard-found")
-        done = done.union(tries)
-        if found.isEmpty():
-            break
-        links = links.union(found)
-        labels = materialize(components(links), "jaccard-labels")
-
-    # Pairs of a word in different components. Each has an end outside the word's largest component. Words are in order of how
-    # many sets share them: of sets with enough words in common, one stands in both prefixes.
-    open_ = still_open()
-    ranked = open_.join(open_.groupBy("word").agg(F.count("*").alias("many")), "word")
-    ranked = ranked.withColumn("nth", F.row_number().over(Window.partitionBy("sid", scheme).orderBy("many", "word"))).where("nth <= prefix")
-    ranked = materialize(ranked.select("word", "sid", "size", "label", "main"), "jaccard-prefixes")
-    # The Hamming distance of parity sketches is at most the symmetric difference: the join itself rules out what differs too much.
-    bits = ids.join(ranked.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(*(F.first(c).alias(c) for c in sketch))
-    ranked = materialize(ranked.join(bits, "sid"), "jaccard-sketched")
-    out = ranked.where("label <> main").select(F.col("word").alias("word_x"), F.col("sid").alias("x"), F.col("label").alias("lx"), F.col("size").alias("nx"), *(F.col(c).alias(f"x_{c}") for c in sketch))
-    other = ranked.select("word", F.col("sid").alias("y"), F.col("label").alias("ly"), F.col("size").alias("ny"), "main", *(F.col(c).alias(f"y_{c}") for c in sketch))
-    distance = sum((F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in sketch[1:]), F.bit_count(F.col(f"x_{sketch[0]}").bitwiseXOR(F.col(f"y_{sketch[0]}"))))
-    near = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny")) & (F.col("lx") != F.col("ly")) & ((F.col("ly") == F.col("main")) | (F.col("x") < F.col("y")))
-    near &= distance * (100 + percent) <= (F.col("nx") + F.col("ny")) * (100 - percent)
-    last = out.join(other, (F.col("word_x") == F.col("word")) & near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    last = materialize(last.join(done, ["a", "b"], "left_anti"), "jaccard-last")
+    # Words whose sets are in several components: their centres' groups.
+    named = members.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    several = named.groupBy("word").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("word")
+    # Any set serves all words whose centres are in its component: fewer groups, and each set is in few of them.
+    own = centres.groupBy("c").agg(F.count("*").alias("words")).join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    first = own.join(own.groupBy("label").agg(F.max_by("c", F.struct("words", "c")).alias("middle")), "label").select("c", "middle")
+    of_word = several.join(centres, "word").join(first, "c").select("word", F.col("middle").alias("c"))
+    groups = materialize(members.join(of_word, "word").select("c", "sid").distinct(), "jaccard-groups")
+    discard(members, centres)
+    differences = materialize(from_centre(groups, contents, percent), "jaccard-differences")
+    discard(groups)
+    near = differences.where("near and c <> sid").select(F.least("c", "sid").alias("a"), F.greatest("c", "sid").alias("b")).distinct()
+    links = materialize(links.union(near), "jaccard-links")
+    labels = materialize(components(links), "jaccard-labels")
+    last = materialize(beyond_centres(differences, labels, percent), "jaccard-last")
+    discard(differences)
     links = materialize(links.union(verify(last)), "jaccard-links")
     labels = components(links).withColumnRenamed("v", "sid")
 
     named = ids.select("doc_id", "n", "sid").join(labels, "sid", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "sid")))
     named = materialize(named, "jaccard-named")
+    discard(ids, contents, last, links)
     least = named.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("docs"))
     least = least.where("docs > 1").select("label", "least")
     return named.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("sid").alias("set_id"), F.coalesce("least", "doc_id").alias("component_id"), "label")
 
 
-def between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't in one component yet."""
-    a = labels.select(F.col("v").alias("a"), F.col("label").alias("la"))
-    b = labels.select(F.col("v").alias("b"), F.col("label").alias("lb"))
-    return pairs.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+def from_centre(groups: DataFrame, contents: DataFrame, percent: int) -> DataFrame:
+    """groups(c, sid) with n and s (sizes of the set and of its centre), near (whether they are similar), and the elements that one of them alone has.
+
+    A centre with many sets is repeated for every ``SHARE_ROWS`` of them, so its sets go to many tasks.
+    """
+    copies = groups.groupBy("c").agg(F.ceil(F.count("*") / SHARE_ROWS).alias("copies"))
+    many = copies.where("copies > 1").select("c", "copies")
+    dealt = groups.join(many, "c", "left").select("c", "sid", F.pmod(F.xxhash64("sid"), F.coalesce("copies", F.lit(1))).alias("part"))
+    centre = contents.join(copies.withColumnRenamed("c", "sid"), "sid").select(F.col("sid").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("part"), F.col("hashes").alias("centre"))
+    full = dealt.join(contents, "sid").join(centre, ["c", "part"]).select("c", "sid", "hashes", "centre")
+
+    def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, s, near, rest = [], [], [], []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                a, b = np.frombuffer(x, _U), np.frombuffer(y, _U)
+                only = np.setxor1d(a, b, assume_unique=True)
+                n.append(len(a))
+                s.append(len(b))
+                near.append((100 + percent) * len(only) <= (100 - percent) * (len(a) + len(b)))
+                rest.append(only.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(near, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["c", "sid", "n", "s", "near", "elements"])
+
+    return full.mapInArrow(subtract, "c long, sid long, n long, s long, near boolean, elements array<long>")
+
+
+def beyond_centres(differences: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a centre's sets in different components that share enough of their differences to be similar (module docstring)."""
+    q, r = 100 + percent, 100 - percent
+    rows = differences.where("c <> sid").join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    several = rows.groupBy("c").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("c")
+    rows = rows.join(several, "c", "left_semi").withColumn("d", F.size("elements").cast("long")).withColumn("m", F.xxhash64("c", "sid"))
+    # Least overlap with any partner that isn't near the centre; for one that isn't itself, with any near it.
+    far = F.floor((q * F.col("d") + r * (F.col("s") - F.col("n"))) / (2 * q)) + 1
+    any_ = F.ceil((q * F.col("d") - r * (F.col("s") + F.col("n"))) / (2 * q))
+    rows = rows.withColumn("half", F.col("d") - F.greatest(far, F.lit(1)) + 1).withColumn("whole", F.when(~F.col("near"), F.col("d") - F.greatest(any_, F.lit(1)) + 1).otherwise(F.lit(0)))
+    rows = materialize(rows.select("m", "sid", "n", "d", "near", "label", "half", "whole", F.transform("elements", lambda e: F.xxhash64("c", e)).alias("elements")), "jaccard-rows")
+    # Elements of a centre as one number (equal numbers of different ones would only bring another pair to the exact check).
+    each = rows.select("m", F.explode("elements").alias("e"))
+    often = each.groupBy("e").agg(F.count("*").alias("sets")).where("sets > 1")
+    met = each.join(often, "e").join(rows.drop("elements"), "m")
+    # Elements that one set alone has come first and meet nothing.
+    own = Window.partitionBy("m")
+    met = met.withColumn("at", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("sets", "e")) - 1)
+    met = materialize(met.where(F.col("at") < F.greatest("half", "whole")).select("e", "sid", "n", "d", "near", "label", "half", "whole", "at"), "jaccard-prefixes")
+    discard(rows)
+    x = met.where("not near and at < whole").select("e", *(F.col(i).alias(f"x_{i}") for i in ("sid", "n", "d", "label", "half", "at")))
+    y = met.where("at < half").select("e", *(F.col(i).alias(f"y_{i}") for i in ("sid", "n", "d", "near", "label", "at")))
+    fits = (F.col("x_label") != F.col("y_label")) & (F.col("y_near") | (F.col("x_at") < F.col("x_half")) & (F.col("x_sid") < F.col("y_sid")))
+    fits &= 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
+    fits &= q * (F.col("x_d") + F.col("y_d")) - r * (F.col("x_n") + F.col("y_n")) <= 2 * q * F.least(F.col("x_d") - F.col("x_at"), F.col("y_d") - F.col("y_at"))
+    return x.join(y, "e").where(fits).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
 
 
 def joined_batches(make):  # noqa: ANN001, ANN201
@@ -386,20 +423,19 @@ def star_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def set_contents(narrow: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
-    """(sid, hashes) of the chosen sets, from their documents. Few ids go to all tasks; more than SENT_IDS are joined."""
-    few = chosen.count() <= SENT_IDS
-    rows = np.sort(chosen.select("doc_id").where("doc_id is not null").toArrow().column(0).to_numpy()) if few else None
+    """(sid, hashes) of the chosen sets(sid, doc_id), once each."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1)
-            if rows is not None:
-                key = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
-                ok = rows[np.minimum(np.searchsorted(rows, key), len(rows) - 1)] == key if len(rows) else np.zeros(len(key), bool)
-                texts = texts.filter(pa.array(ok | batch.column(0).is_null().to_numpy(zero_copy_only=False)))
-            for text in texts.to_pylist():
-                made = shingle_hashes(text or "", k)
-                yield pa.RecordBatch.from_arrays([pa.array([set_id(made)], pa.int64()), pa.array([made.tobytes()], pa.binary())], names=["sid", "hashes"])
-
-    found = narrow if few else narrow.join(chosen.select(F.col("doc_id").alias("id_")), F.col("doc_id").eqNullSafe(F.col("id_")), "left_semi")
-    return materialize(found.mapInArrow(joined_batches(make), "sid long, hashes binary"), "jaccard-contents")
+            made = shingle_sets(batch.column(0).to_pylist(), k)
+            yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["sid", "hashes"])
+
+    one, other = F.col("doc_id"), F.col("id_")
+    wanted = chosen.select(F.col("doc_id").alias("id_")).distinct()
+    found = narrow.join(wanted.where("id_ is not null"), one == other, "left_semi")
+    if not wanted.where("id_ is null").isEmpty():
+        found = found.union(narrow.where("doc_id is null"))
+    found = materialize(found.select("text").mapInArrow(joined_batches(make), "sid long, hashes binary"), "jaccard-contents")
+    if found.count() > found.select("sid").distinct().count():  # keys that repeat, or are null, with several texts
+        found = materialize(found.groupBy("sid").agg(F.first("hashes").alias("hashes")), "jaccard-contents")
+    return found
