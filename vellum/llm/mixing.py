@@ -1,15 +1,20 @@
 """Soft-membership mixing in DataFrame functions only.
 
 Labelled rows give domains: ``toxic`` (toxic = 1), else ``good`` (quality = 1), else ``poor``. A naive Bayes model over words and coarse
-shape features is fitted on at most ``fit_rows`` labelled documents (chosen by a hash of their ids) and predicts each document's
-posterior over domains: scores are put into cells by the best domain and its lead, and a cell's posterior is what share of
-the fit's documents in it belongs to each domain. Then nonnegative document rates w are fitted by projected-gradient least squares so that expected domain totals
-A w, with A[k, d] = tokens of d times its posterior of k, match the targets b. The gradient is taken in the metric of
-tokens and the residual in that of the Gram matrix G = sum of tokens * p * p', so a step of one is never too long:
+shape features is fitted on at most ``fit_rows`` labelled documents (chosen by a hash of their ids). Its scores are calibrated on them: one factor,
+the best of ``FACTORS`` by log loss, as naive Bayes is too sure, and an offset a domain, so that the posteriors' sums are the domains' counts. A document's
+posterior is the softmax of its calibrated scores. Then nonnegative document rates w are fitted by projected-gradient least squares so that expected domain totals
+A w, with A[k, d] = tokens of d times its posterior of k, match the targets b: min |A w - b|^2, w >= 0, with the gradient taken in the
+metric of tokens,
 
-    w <- max(0, w + p' G^-1 (b - A w)),  from w = 1.
+    w <- max(0, w + p' S (b - A w)),  from w = 1.
 
-A step needs K sums over all documents, and K numbers return to the driver; a document's rate is a fold over the steps so far,
+Where no rate is at 0, the residual goes by (I - G S) with G = A diag(1 / tokens) A'. The first steps are scaled by S = the inverse of G (over the
+documents with a rate above 0), which ends the residual at once where no rate is at 0; a residual of 0 is the least squares' minimum in any scale. When these steps gain no more, targets can't all be met, and
+plain gradient steps go on, S = a length by the last step's secant (Barzilai and Borwein's two, in turn); of these the best is kept. The fit ends at a residual of ``TOLERANCE`` of the budget, when ``PATIENCE`` steps
+gain less than a tenth of that (what is left can't be met), or after ``STEPS``; ``fit_rates`` returns target and reached total of each domain in any case.
+
+A step needs a few sums over all documents, which return to the driver; a document's rate is a fold over the steps so far,
 so nothing is written between steps.
 
 Edge cases: null texts are empty, have no tokens, and keep the rate their posterior gives; without labels all domains are equally
@@ -24,17 +29,19 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import fresh, materialize, text_of
+from vellum.llm.common import discard, fresh, materialize, quoted, text_of
 from vellum.llm.quality import bound, words_of
 
 DOMAINS = ("good", "poor", "toxic")
 TARGETS = {"good": 0.88, "poor": 0.1, "toxic": 0.02}
 #: Labelled documents of the fit at most; documents that must hold a word; least evidence for some domain (log ratio) and number of words of the model; prior documents.
 FIT_ROWS, LEAST_DOCS, LEAST_EFFECT, MODEL_WORDS, PRIOR = 20_000, 8, 0.7, 128, 3.0
-#: Bounds of how far the best domain's score is before the next, for the cells in which posteriors are counted.
-MARGINS = (1.0, 2.0, 4.0)
-#: Steps at most, and the residual at which they end, as a share of the budget.
-STEPS, TOLERANCE = 16, 1e-4
+#: Factors of the scores among which calibration chooses, and its turns of offsets.
+FACTORS, OFFSET_TURNS = (0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.8, 1.0), 5
+#: Chance of a domain without a target at which a document goes.
+DOUBT = 0.25
+#: Steps at most, steps without a gain before the end, and the residual at which they end, as a share of the budget.
+STEPS, PATIENCE, TOLERANCE = 24, 6, 1e-4
 
 
 def _bin(share: Column, edges: tuple[float, ...], name: str) -> Column:
@@ -81,22 +88,34 @@ def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", key: str = "d
     strong = strong.where((F.array_max("e") >= LEAST_EFFECT) | F.col("f").contains(":"))
     strong = strong.withColumn("worth", F.when(F.col("f").contains(":"), F.lit(1e18)).otherwise(F.col("n") * F.array_max("e")))
     model = {r.f: list(r.e) for r in strong.orderBy(F.desc("worth"), "f").limit(MODEL_WORDS).collect()}
-    cells = known.select("domain", _cell(_scores(F.col("f"), model, priors)).alias("cell")).groupBy("cell", "domain").agg(F.count("*").alias("n"))
-    seen = {(r.cell, r.domain): r.n for r in cells.collect()}  # a row for each cell and domain
-    table = []
-    for cell in range(len(DOMAINS) * (len(MARGINS) + 1)):
-        n = [seen.get((cell, d), 0) + (PRIOR * share if total else 1.0) for d, share in zip(DOMAINS, map(math.exp, priors), strict=True)]
-        table.append([x / sum(n) for x in n])
-    return Model(model, priors, table)
+    scored = materialize(known.select("domain", _scores(F.col("f"), model, priors).alias("s")), "mix-scored")
+    right = F.create_map(*(x for i, d in enumerate(DOMAINS) for x in (F.lit(d), F.lit(i + 1))))[F.col("domain")]
+    chance = lambda factor, offsets: _softmax(F.col("s"), factor, offsets)
+    factor, offsets = 1.0, [0.0] * len(DOMAINS)
+    if total:
+        loss = scored.agg(*(F.sum(-F.log(F.greatest(F.element_at(chance(x, offsets), right), F.lit(1e-12)))).alias(str(i)) for i, x in enumerate(FACTORS))).first()
+        factor = FACTORS[min(range(len(FACTORS)), key=lambda i: loss[i])]
+        for _ in range(OFFSET_TURNS):
+            sums = scored.agg(*(F.sum(F.element_at(chance(factor, offsets), i + 1)).alias(d) for i, d in enumerate(DOMAINS))).first()
+            offsets = [o + math.log((sizes.get(d, 0) + 0.5) / (sums[d] + 0.5)) for o, d in zip(offsets, DOMAINS, strict=True)]
+    discard(known, scored)
+    return Model(model, priors, factor, offsets)
 
 
 @dataclass(frozen=True)
 class Model:
-    """Log evidence of features for the domains, log priors, and the domains' shares among the fit's documents in each cell of the scores."""
+    """Log evidence of features for the domains, log priors, and the calibration of the scores: a factor and an offset for each domain."""
 
     evidence: dict[str, list[float]]
     priors: list[float]
-    shares: list[list[float]]
+    factor: float
+    offsets: list[float]
+
+
+def _softmax(scores: Column, factor: float, offsets: list[float]) -> Column:
+    z = [F.get(scores, i) * factor + o for i, o in enumerate(offsets)]
+    top = F.greatest(*z)
+    return bound(F.array(*(F.exp(x - top) for x in z)), lambda e: F.transform(e, lambda x: x / sum((F.get(e, i) for i in range(len(z))), F.lit(0.0))))
 
 
 def _scores(f: Column, evidence: dict[str, list[float]], priors: list[float]) -> Column:
@@ -108,24 +127,9 @@ def _scores(f: Column, evidence: dict[str, list[float]], priors: list[float]) ->
     return F.aggregate(F.array_intersect(f, names), scores, lambda a, x: F.zip_with(a, F.element_at(effects, x), lambda p, q: p + q))
 
 
-def _cell(scores: Column) -> Column:
-    """The best domain, and how far it is before the next."""
-
-    def of(s: Column) -> Column:
-        ranked = F.sort_array(s, asc=False)
-        margin = F.get(ranked, 0) - F.get(ranked, 1)
-        step: Column = F.lit(len(MARGINS))
-        for i in reversed(range(len(MARGINS))):
-            step = F.when(margin < MARGINS[i], F.lit(i)).otherwise(step)
-        return (F.array_position(s, F.array_max(s)).cast("int") - 1) * (len(MARGINS) + 1) + step
-
-    return bound(scores, of)
-
-
 def posteriors(text: Column, model: Model) -> Column:
-    """Array of the domains' posteriors: the scores' cell says what share of such documents is in which domain."""
-    table = F.array(*(F.array(*map(F.lit, row)) for row in model.shares))
-    return F.element_at(table, _cell(_scores(features(text), model.evidence, model.priors)) + 1)
+    """Array of the domains' posteriors."""
+    return bound(_scores(features(text), model.evidence, model.priors), lambda s: _softmax(s, model.factor, model.offsets))
 
 
 def _solve(g: list[list[float]], r: list[float]) -> list[float]:
@@ -149,13 +153,26 @@ def _solve(g: list[list[float]], r: list[float]) -> list[float]:
     return out
 
 
+def _largest_eigenvalue(g: list[list[float]]) -> float:
+    """Of a symmetric matrix without negative eigenvalues, by its powers."""
+    v = [1.0] * len(g)
+    top = 0.0
+    for _ in range(200):
+        v = [sum(a * x for a, x in zip(row, v, strict=True)) for row in g]
+        top = math.sqrt(sum(x * x for x in v))
+        if top == 0:
+            return 0.0
+        v = [x / top for x in v]
+    return top
+
+
 def rate_of(posterior: Column, steps: list[list[float]], targets: dict[str, float] = TARGETS) -> Column:
-    """A document's rate after the steps: nothing where its likeliest domain has no target."""
+    """A document's rate after the steps: nothing where it belongs to domains without a target with a chance of ``DOUBT`` or more."""
     each = F.array(*(F.array(*map(F.lit, c)) for c in steps))
     dot = lambda c: sum((F.element_at(posterior, i + 1) * F.element_at(c, i + 1) for i in range(len(DOMAINS))), F.lit(0.0))
     rate = F.aggregate(each, F.lit(1.0), lambda w, c: F.greatest(F.lit(0.0), w + dot(c))) if steps else F.lit(1.0)
-    none = [i + 1 for i, d in enumerate(DOMAINS) if not targets.get(d)]
-    return F.when(F.array_position(posterior, F.array_max(posterior)).isin(none), 0.0).otherwise(rate) if none else rate
+    none = [F.element_at(posterior, i + 1) for i, d in enumerate(DOMAINS) if not targets.get(d)]
+    return F.when(sum(none, F.lit(0.0)) >= DOUBT, 0.0).otherwise(rate) if none else rate
 
 
 def fit_rates(members: DataFrame, *, targets: dict[str, float] = TARGETS, budget: float | None = None, grow: bool = False) -> tuple[list[list[float]], dict[str, tuple[float, float]]]:
@@ -166,28 +183,55 @@ def fit_rates(members: DataFrame, *, targets: dict[str, float] = TARGETS, budget
     k = len(DOMAINS)
     p = [F.element_at("posterior", i + 1) for i in range(k)]
     n = F.col("n_tokens").cast("double")
-    first = members.agg(*(F.sum(n * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(i, k)), *(F.sum(n * p[i]).alias(f"t{i}") for i in range(k))).first()
-    value = lambda name: float(first[name] or 0.0)
-    gram = [[value(f"g{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)]
+
+    def sums(steps: list[list[float]]) -> tuple[list[float], list[list[float]], float]:
+        """A w, G over the documents with a rate above 0, and the square of the last step's change of rates in tokens."""
+        rated = members.withColumn("w_", rate_of(F.col("posterior"), steps, targets)).withColumn("v_", rate_of(F.col("posterior"), steps[:-1], targets))
+        on = F.when(F.col("w_") > 0, n).otherwise(0.0)
+        moved = F.col("w_") - F.col("v_")
+        row = rated.agg(F.sum(n * moved * moved).alias("m"), *(F.sum(n * p[i] * F.col("w_")).alias(f"t{i}") for i in range(k)), *(F.sum(on * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(i, k))).first()
+        value = lambda name: float(row[name] or 0.0)
+        return [value(f"t{i}") for i in range(k)], [[value(f"g{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)], value("m")
+
     share = sum(targets.values()) or 1.0
     goal = [targets.get(d, 0.0) / share for d in DOMAINS]
-    have = [value(f"t{i}") for i in range(k)]
+    first = members.agg(*(F.sum(n * p[i]).alias(f"t{i}") for i in range(k))).first()
+    have = [float(first[f"t{i}"] or 0.0) for i in range(k)]
     if budget is None:
         budget = max((h / g, h, g) for h, g in zip(have, goal, strict=True) if g == max(goal))[0] if grow else sum(h for h, g in zip(have, goal, strict=True) if g > 0)
     b = [g * budget for g in goal]
+    size = lambda r: math.sqrt(sum(x * x for x in r))
+    short = lambda got: [x - y for x, y in zip(b, got, strict=True)]
+    got, whole, _ = sums([])
     steps: list[list[float]] = []
-
-    def sums() -> list[float]:
-        rated = members.withColumn("w_", rate_of(F.col("posterior"), steps, targets))
-        row = rated.agg(*(F.sum(n * p[i] * F.col("w_")).alias(f"t{i}") for i in range(k))).first()
-        return [float(row[f"t{i}"] or 0.0) for i in range(k)]
-
-    got = have if all(goal) else sums()
-    while budget > 0 and len(steps) < STEPS and max(abs(x - y) for x, y in zip(b, got, strict=True)) > TOLERANCE * budget:
-        steps.append(_solve(gram, [x - y for x, y in zip(b, got, strict=True)]))
-        before, got = got, sums()
-        if max(abs(x - y) for x, y in zip(before, got, strict=True)) <= TOLERANCE / 10 * budget:
-            break  # what is left can't be met
+    done = lambda got: budget <= 0 or max(map(abs, short(got))) <= TOLERANCE * budget
+    gram, passes = whole, 0
+    while not done(got) and passes < STEPS:
+        passes += 1
+        made = [*steps, _solve(gram, short(got))]
+        now, then, _ = sums(made)
+        gain = size(short(got)) - size(short(now))
+        if gain > 0:
+            steps, got, gram = made, now, then
+        if gain <= TOLERANCE / 10 * budget:
+            break
+    # Plain gradient steps, of lengths by the last step's secant; these needn't lessen the residual each time, so the best is kept.
+    top = _largest_eigenvalue(whole)
+    trail, at, length, idle = list(steps), got, 1 / top if top > 0 else 0.0, 0
+    while not done(got) and passes < STEPS and length > 0 and idle < PATIENCE:
+        passes += 1
+        trail = [*trail, [length * x for x in short(at)]]
+        now, _, moved = sums(trail)
+        change = [x - y for x, y in zip(now, at, strict=True)]
+        along, across = sum(x * x for x in change), sum(x * y * whole[i][j] for i, x in enumerate(change) for j, y in enumerate(change))
+        if along > 0:
+            length = moved / along if passes % 2 else along / across
+        gain, at, idle = size(short(got)) - size(short(now)), now, idle + 1
+        if gain > 0:
+            idle = idle if gain <= TOLERANCE / 10 * budget else 0
+            steps, got = trail, now
+        if along == 0:
+            break
     return steps, {d: (b[i], got[i]) for i, d in enumerate(DOMAINS)}
 
 
@@ -228,10 +272,10 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, *, text: str = "text", k
         i = fresh(docs, "id")
         named = labels.where(label().isin(none) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias(i)).distinct()
         docs = docs.join(materialize(named, "mix-named"), F.col(key).cast("long") == F.col(i), "left_anti")
+    # The posteriors are computed once and written with the documents.
+    p, n, w = fresh(docs, "posterior"), fresh(docs, "n_tokens"), fresh(docs, "copies")
     t = text_of(text)
-    w = fresh(docs, "copies")
-    soft = posteriors(t, model)
-    members = materialize(docs.select(F.size(words_of(t)).cast("long").alias("n_tokens"), soft.alias("posterior")), "mix-members")
-    steps, _ = fit_rates(members, targets=targets, grow=grow)
-    copies = bound(soft, lambda p: copies_of(rate_of(p, steps, targets), F.col(key)))
-    return docs.withColumn(w, F.explode(F.array_repeat(F.lit(1), copies))).drop(w)
+    rated = materialize(docs.withColumn(n, F.size(words_of(t)).cast("long")).withColumn(p, posteriors(t, model)), "mix-documents")
+    steps, _ = fit_rates(rated.select(F.col(n).alias("n_tokens"), F.col(p).alias("posterior")), targets=targets, grow=grow)
+    copies = copies_of(rate_of(F.col(p), steps, targets), F.col(key))
+    return rated.withColumn(w, F.explode(F.array_repeat(F.lit(1), copies))).select(*(F.col(quoted(c)) for c in docs.columns))
