@@ -41,11 +41,8 @@ WITH docs AS (
   FROM (SELECT doc_id, host, t, unnest(string_split(t, chr(10))) AS line FROM docs)
 ), dup AS (
   SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM lines WHERE n > 0 GROUP BY doc_id
-), hosts AS (
-  SELECT host, count(DISTINCT md5(t)) AS contents FROM docs GROUP BY host
 ), frequent AS (
-  SELECT l.host, norm FROM lines l JOIN hosts h ON h.host = l.host WHERE n > 0
-  GROUP BY l.host, norm, contents HAVING count(DISTINCT content) > 20 AND count(DISTINCT content) > 0.05 * contents
+  SELECT host, norm FROM lines WHERE n > 0 GROUP BY host, norm HAVING count(DISTINCT content) > 10
 ), lost AS (
   SELECT doc_id, sum(n) AS n FROM lines l SEMI JOIN frequent f ON f.host = l.host AND f.norm = l.norm WHERE n > 0 GROUP BY doc_id
 ), base AS (

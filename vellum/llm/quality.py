@@ -1,17 +1,17 @@
 """Quality rules on documents, and the frequency of lines across a host's documents, in DataFrame functions only.
 
 Per document: words, symbols, repeated lines and repeated word windows. Across documents: lines are normalised (lower case,
-white space as one space) and hashed; for each host (the source) distinct documents per line are counted, by distinct content,
-so that exact copies, which near-duplicate removal handles, don't make a page's own lines look like boilerplate. A line in more
-than ``max_share`` of its host's distinct contents and more than ``min_docs`` of them is above the limit. It is removed from
+white space as one space) and hashed; for each host (the source) the distinct documents that hold a line are counted. Documents with
+the same text are one document here, so that exact copies, which near-duplicate removal handles, don't make a page's own lines look like boilerplate.
+A line in more than ``MOST_DOCS`` documents of its host is above the limit, however large the host. It is removed from
 every document; a document that keeps less than ``least_left`` of its words is depleted and rejected.
 
-Counts are partial aggregates of (host, line), so neither a host nor a line with a third of all rows is a hot key. A host has at most
-(distinct lines per document, on average) / ``max_share`` lines above the limit; they reach its documents as one array, by a
-join that Spark broadcasts only under its size threshold.
+Counts are partial aggregates of (host, line), so neither a host nor a line with a third of all rows is a hot key. A document's lines above the limit
+come back to it by its host and text's hash, at most as many as it has lines; no list of all of a host's lines is made. Spark broadcasts a side only under its size threshold, and splits
+skewed partitions of copies otherwise.
 
 Edge cases: null texts have no words; a null host is the empty host; documents without words fail; repeated rows count once
-(equal contents); lines without a word are never removed.
+(equal texts); lines without a word are never removed; a host with at most ``MOST_DOCS`` documents has no line above the limit.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import fresh, materialize, text_of
+from vellum.llm.common import discard, fresh, materialize, quoted, text_of
 
 #: Fewest words, and the largest share of words in repeated windows (percent).
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: A line's share of its host's distinct contents, the fewest contents that count, and the share of words that must be left.
-MAX_SHARE, MIN_DOCS, LEAST_LEFT = 0.05, 20, 0.5
+#: Distinct documents of a host that a line may be in, and the share of words that must be left.
+MOST_DOCS, LEAST_LEFT = 10, 0.5
 
 SPACES = " \t\n\x0b\f\r"
 _SPLIT, _INK = "[\\x20\\x09-\\x0D]+", "[^\\x20\\x09-\\x0D]"
@@ -65,23 +65,26 @@ def repeated_words(words: Column) -> Column:
     return bound(windows, among)
 
 
-def line_limits(docs: DataFrame, *, text: str = "text", host: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(host, lines array<bigint>, n_lines): hashes of each host's lines above the limit. A written table."""
+def line_limits(docs: DataFrame, *, text: str = "text", host: str = "source", most_docs: int = MOST_DOCS) -> DataFrame:
+    """(host, content, lines array<bigint>): for each distinct document, by its text's hash, the hashes of its lines above the limit, if it has any. A written table."""
     rows = docs.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), text_of(text).alias("text"))
     lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(_INK)), lambda x: F.xxhash64(normalised(x))))
     # Distinct (host, content) first: of copies, one is exploded. Only hashes are dealt out.
-    rows = rows.select("host", F.xxhash64("text").alias("content"), lines.alias("lines")).groupBy("host", "content").agg(F.first("lines").alias("lines"))
-    sizes = rows.groupBy("host").agg(F.count("*").alias("contents"))
-    counted = rows.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > min_docs)
-    above = counted.join(sizes, "host").where(F.col("n") > max_share * F.col("contents"))
-    return materialize(above.groupBy("host").agg(F.collect_list("line").alias("lines"), F.count("*").alias("n_lines")), "line-limits")
+    rows = materialize(rows.select("host", F.xxhash64("text").alias("content"), lines.alias("lines")).groupBy("host", "content").agg(F.first("lines").alias("lines")), "line-hashes")
+    each = rows.select("host", "content", F.explode("lines").alias("line"))
+    frequent = each.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > most_docs).select("host", "line")
+    above = each.join(frequent, ["host", "line"], "left_semi").groupBy("host", "content").agg(F.collect_list("line").alias("lines"))
+    found = materialize(above, "line-limits")
+    discard(rows)
+    return found
 
 
-def quality(docs: DataFrame, *, text: str = "text", host: str = "source", max_share: float = MAX_SHARE, min_docs: int = MIN_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
+def quality(docs: DataFrame, *, text: str = "text", host: str = "source", most_docs: int = MOST_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """docs with a column ``quality``: struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_left (words left), kept, and clean (the text without lines above the limit)."""
-    limits = line_limits(docs, text=text, host=host, max_share=max_share, min_docs=min_docs)
-    h, l = fresh(docs, "host_"), fresh(docs, "lines_")
-    found = docs.withColumn(h, F.coalesce(F.col(host).cast("string"), F.lit(""))).join(limits.select(F.col("host").alias(h), F.col("lines").alias(l)), h, "left")
+    limits = line_limits(docs, text=text, host=host, most_docs=most_docs)
+    h, c, l = fresh(docs, "host_"), fresh(docs, "content_"), fresh(docs, "lines_")
+    keyed = docs.withColumn(h, F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn(c, F.xxhash64(text_of(text)))
+    found = keyed.join(limits.select(F.col("host").alias(h), F.col("content").alias(c), F.col("lines").alias(l)), [h, c], "left").select(*(F.col(quoted(x)) for x in docs.columns), F.col(l))
     t = text_of(text)
     frequent = F.coalesce(F.col(l), F.array().cast("array<bigint>"))
     lines = F.split(t, "\n")
@@ -107,4 +110,4 @@ def quality(docs: DataFrame, *, text: str = "text", host: str = "source", max_sh
         bound(inked, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         base["n_repeat_words"].alias("n_repeat_words"), base["base_failed"].alias("base_failed"),
         left["n_left"].alias("n_left"), (~base["base_failed"] & ~depleted).alias("kept"), left["clean"].alias("clean"),
-    )).drop(h, l)
+    )).drop(l)
