@@ -36,7 +36,7 @@ CAPACITY = 2048
 #: Largest share of a length's demand that a step covers, turn by turn; how near the bound a plan must come for an early end.
 STEP_SIZES, GAP = (1.0, 0.3, 0.1, 0.05), 0.001
 #: Knapsack tables and steps of a later turn at most; a turn that needs more ends there with what it has, and the bound tells how good that is.
-TABLES, STEPS = 200, 10_000
+TABLES, STEPS = 200, 6_000
 #: Vector operations of a knapsack over single lengths above which it is computed over capacities.
 FEW_OPERATIONS = 256
 
@@ -175,7 +175,7 @@ class Program:
         amounts, top, early, tables, steps = np.zeros(len(self.rows)), math.inf, None, 0, 0
         while covered.min() < goal and steps < STEPS:
             steps += 1
-            worth = self.rows[: len(self.keys)] @ weights
+            worth = np.einsum("ij,j->i", self.rows[: len(self.keys)], weights)  # in one thread
             j = int(worth.argmax())
             if worth[j] < (1 - size / 4) * top:  # weights only fall, so top is no less than the greatest price
                 if tables == TABLES:

@@ -60,7 +60,7 @@ def responses(pages: DataFrame, least_bytes: int) -> DataFrame:
     return pages.where(F.col("size") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("response"), F.count("*").alias("records")).where("records > 1")
 
 
-def write_archives(pages: DataFrame, *, least_bytes: int = 0, date: str | None = None, out_dir: str | None = None) -> DataFrame:
+def write_archives(pages: DataFrame, *, least_bytes: int = 0, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None, out_dir: str | None = None) -> DataFrame:
     """Rows (path, n): the archives of pages(page_id, url, html). Equal payloads of least_bytes or more: the largest page id responds."""
     spark = pages.sparkSession
     small_batches(spark)
@@ -97,7 +97,7 @@ def write_archives(pages: DataFrame, *, least_bytes: int = 0, date: str | None =
                 data = gzip.compress(record(page, url, date, html.encode(), response if revisits else None), 5, mtime=0)
                 out.write(data)
                 n, at = n + 1, at + len(data)
-                if at >= ARCHIVE_BYTES:
+                if at >= archive_bytes:
                     yield done()
                     out, seq = None, seq + 1
         if out is not None:
@@ -220,7 +220,7 @@ def sort_key(row: tuple) -> tuple:
     return (row[0], row[1], -1 << 63 if row[2] is None else row[2])
 
 
-def write_run(uri: str, rows: Iterator[tuple], schema: pa.Schema) -> tuple[int, list[tuple]]:
+def write_run(uri: str, rows: Iterator[tuple], schema: pa.Schema, block_rows: int = BLOCK_ROWS) -> tuple[int, list[tuple]]:
     """A sorted run in blocks; its rows, and each block's first key."""
     fs, path = open_fs(uri)
     n, firsts, held = 0, [], []
@@ -234,7 +234,7 @@ def write_run(uri: str, rows: Iterator[tuple], schema: pa.Schema) -> tuple[int,
         for row in rows:
             held.append(row)
             n += 1
-            if len(held) == BLOCK_ROWS:
+            if len(held) == block_rows:
                 flush()
         if held:
             flush()
@@ -276,14 +276,14 @@ def some_of(keys: list[str], most: int) -> list[str]:
     return [keys[i] for i in np.unique(np.linspace(0, len(keys) - 1, min(most, len(keys))).astype(int))] if keys else []
 
 
-def cuts_of(keys: list[str], n: int) -> list[tuple]:
-    """Keys that cut n rows into ranges of about ``RANGE_ROWS``, from a sample of them."""
+def cuts_of(keys: list[str], n: int, range_rows: int) -> list[tuple]:
+    """Keys that cut n rows into ranges of about ``range_rows``, from a sample of them."""
     ordered = sorted(tuple(json.loads(k)) for k in keys)
-    ranges = max(1, min(len(ordered), n // RANGE_ROWS))
+    ranges = max(1, min(len(ordered), n // range_rows))
     return sorted({ordered[len(ordered) * i // ranges] for i in range(1, ranges)})
 
 
-def index_captures(written: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
+def index_captures(written: DataFrame, *, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """CAPTURE and history (a capture's place among those of its URL key), globally ordered by (url_key, timestamp, page_id): ranges ascend with range_id."""
     spark: SparkSession = written.sparkSession
     small_batches(spark)
@@ -293,7 +293,7 @@ def index_captures(written: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
 
     def file_row(rows: Iterator[tuple]) -> dict | None:
         path = f"{folder}/run-{uuid.uuid4().hex}.arrow"
-        n, firsts = write_run(path, rows, schema)
+        n, firsts = write_run(path, rows, schema, block_rows)
         keys = [json.dumps(k) for k in firsts]
         return {"files": [{"path": path, "first": keys[0]}], "n": n, "offered": some_of(keys, OFFERED)} if n else None
 
@@ -307,7 +307,7 @@ def index_captures(written: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for g, files, n, offered in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                cuts = [json.dumps(c) for c in cuts_of([k for o in offered for k in o], n)]
+                cuts = [json.dumps(c) for c in cuts_of([k for o in offered for k in o], n, range_rows)]
                 for i, (low, high) in enumerate(zip([None, *cuts], [*cuts, None], strict=True)):
                     within = [inside(f, low and tuple(json.loads(low)), high and tuple(json.loads(high))) for f in files]
                     yield pa.RecordBatch.from_pylist([{"g": g, "i": i, "low": low, "high": high, "runs": [f for f in within if f]}], range_schema)
@@ -334,7 +334,7 @@ def index_captures(written: DataFrame, *, fan_in: int = FAN_IN) -> DataFrame:
         every = F.greatest(F.lit(1), F.floor(F.size(keep) / (OFFERED * 16)).cast("int"))
         runs = materialize(each.select(F.flatten(F.transform("parts", lambda p: p["files"])).alias("files"), "n", F.filter(keep, lambda _, i: i % every == 0).alias("offered")), "warc-run-list")
     final = runs.select("n", "offered").collect()  # at most fan_in rows of some hundred keys
-    cuts = cuts_of([k for r in final for k in r.offered], sum(r.n for r in final))
+    cuts = cuts_of([k for r in final for k in r.offered], sum(r.n for r in final), range_rows)
     bounds = list(zip([None, *cuts], [*cuts, None], strict=True))
     paths = [[f.asDict() for f in r.files] for r in runs.select("files").collect()]  # a name for RANGE_ROWS captures
     out_schema = arrow_schema(spark, f"range_id int, {CAPTURE}, history long")
