@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -88,6 +87,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "history")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vellum.llm.pipeline import run
+
+    return run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -98,7 +103,7 @@ def _register() -> None:
     for name, f in list(globals().items()):
         if name.startswith("op") and callable(f):
             QUERIES[name] = f
-    QUERIES["pipeline"] = lambda spark, sf_dir: importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+    QUERIES["pipeline"] = pipeline
     ORACLE_SQL.update(oracle.SQL)
 
 
