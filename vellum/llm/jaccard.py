@@ -46,6 +46,8 @@ SHINGLE, PERCENT = 5, 80
 #: Sets that share a word before it counts as hot; seeds; growth of size bands; bits of the parity sketch of the check; sets that meet one copy of their centre.
 HOT, SEEDS, BAND, SKETCH_BITS, SHARE_ROWS = 32, 3, 1.4, 1024, 500
 
+#: Both sides of these joins grow with the data, so they are dealt by their keys at every size.
+MERGE = "merge"
 #: Bytes of text handled at once.
 PART_BYTES, NARROW_ROWS = 512 << 10, 20_000
 _U = np.uint64
@@ -252,15 +254,15 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     sizes = ids.where("n > 0").groupBy("sid").agg(F.max("n").alias("size"))
     # No partner differs in more than this from a set of its size, so at least so many words are shared.
     differ = F.floor((F.col("size") + F.floor(F.col("size") * 100 / percent)) * (100 - percent) / (100 + percent))
-    counts = counts.join(sizes, "sid").withColumn("need", F.greatest(of(places) - differ, F.lit(1)))
+    counts = counts.join(sizes.hint(MERGE), "sid").withColumn("need", F.greatest(of(places) - differ, F.lit(1)))
     good = materialize(counts.where("n >= need").select("sid", "scheme", F.col("n").alias("words"), (F.col("h") > of(most)).alias("heavy")), "jaccard-good")
-    members = materialize(shares.withColumn("scheme", scheme).join(good, ["sid", "scheme"]).where("heavy or not hot").select("word", "sid", "words"), "jaccard-members")
+    members = materialize(shares.withColumn("scheme", scheme).join(good.hint(MERGE), ["sid", "scheme"]).where("heavy or not hot").select("word", "sid", "words"), "jaccard-members")
     discard(shares, good)
 
     # Centres, and each set against its best one.
     centres = members.groupBy("word").agg(F.max_by("sid", F.struct("words", "sid")).alias("c"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("word", "c")
     centres = materialize(centres, "jaccard-centres")
-    tries = members.join(centres, "word").where("sid <> c").groupBy("c", "sid").agg(F.count("*").alias("shared"))
+    tries = members.join(centres.hint(MERGE), "word").where("sid <> c").groupBy("c", "sid").agg(F.count("*").alias("shared"))
     best = tries.groupBy("sid").agg(F.max_by("c", F.struct("shared", "c")).alias("c"))
     best = materialize(best.select(F.least("c", "sid").alias("a"), F.greatest("c", "sid").alias("b")).distinct(), "jaccard-best")
     needed = members.select("sid").distinct()
@@ -269,8 +271,8 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
     def verify(candidates: DataFrame) -> DataFrame:
         """The pairs (a, b) that are similar."""
-        left = candidates.join(contents.select(F.col("sid").alias("a"), F.col("hashes").alias("left")), "a")
-        full = left.join(contents.select(F.col("sid").alias("b"), F.col("hashes").alias("right")), "b")
+        left = candidates.join(contents.select(F.col("sid").alias("a"), F.col("hashes").alias("left")).hint(MERGE), "a")
+        full = left.join(contents.select(F.col("sid").alias("b"), F.col("hashes").alias("right")).hint(MERGE), "b")
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -289,8 +291,8 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     # Any set serves all words whose centres are in its component: fewer groups, and each set is in few of them.
     own = centres.groupBy("c").agg(F.count("*").alias("words")).join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     first = own.join(own.groupBy("label").agg(F.max_by("c", F.struct("words", "c")).alias("middle")), "label").select("c", "middle")
-    of_word = several.join(centres, "word").join(first, "c").select("word", F.col("middle").alias("c"))
-    groups = materialize(members.join(of_word, "word").select("c", "sid").distinct(), "jaccard-groups")
+    of_word = several.hint(MERGE).join(centres, "word").join(first.hint(MERGE), "c").select("word", F.col("middle").alias("c"))
+    groups = materialize(members.join(of_word.hint(MERGE), "word").select("c", "sid").distinct(), "jaccard-groups")
     discard(members, centres)
     differences = materialize(from_centre(groups, contents, percent), "jaccard-differences")
     discard(groups)
@@ -319,7 +321,7 @@ def from_centre(groups: DataFrame, contents: DataFrame, percent: int) -> DataFra
     many = copies.where("copies > 1").select("c", "copies")
     dealt = groups.join(many, "c", "left").select("c", "sid", F.pmod(F.xxhash64("sid"), F.coalesce("copies", F.lit(1))).alias("part"))
     centre = contents.join(copies.withColumnRenamed("c", "sid"), "sid").select(F.col("sid").alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("part"), F.col("hashes").alias("centre"))
-    full = dealt.join(contents, "sid").join(centre, ["c", "part"]).select("c", "sid", "hashes", "centre")
+    full = dealt.join(contents.hint(MERGE), "sid").join(centre.hint(MERGE), ["c", "part"]).select("c", "sid", "hashes", "centre")
 
     def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -350,7 +352,7 @@ def beyond_centres(differences: DataFrame, labels: DataFrame, percent: int) -> D
     # Elements of a centre as one number (equal numbers of different ones would only bring another pair to the exact check).
     each = rows.select("m", F.explode("elements").alias("e"))
     often = each.groupBy("e").agg(F.count("*").alias("sets")).where("sets > 1")
-    met = each.join(often, "e").join(rows.drop("elements"), "m")
+    met = each.join(often.hint(MERGE), "e").join(rows.drop("elements").hint(MERGE), "m")
     # Elements that one set alone has come first and meet nothing.
     own = Window.partitionBy("m")
     met = met.withColumn("at", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("sets", "e")) - 1)
@@ -361,7 +363,7 @@ def beyond_centres(differences: DataFrame, labels: DataFrame, percent: int) -> D
     fits = (F.col("x_label") != F.col("y_label")) & (F.col("y_near") | (F.col("x_at") < F.col("x_half")) & (F.col("x_sid") < F.col("y_sid")))
     fits &= 100 * F.least("x_n", "y_n") >= percent * F.greatest("x_n", "y_n")
     fits &= q * (F.col("x_d") + F.col("y_d")) - r * (F.col("x_n") + F.col("y_n")) <= 2 * q * F.least(F.col("x_d") - F.col("x_at"), F.col("y_d") - F.col("y_at"))
-    return x.join(y, "e").where(fits).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
+    return x.join(y.hint(MERGE), "e").where(fits).select(F.least("x_sid", "y_sid").alias("a"), F.greatest("x_sid", "y_sid").alias("b")).distinct()
 
 
 def joined_batches(make):  # noqa: ANN001, ANN201
