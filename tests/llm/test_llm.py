@@ -72,6 +72,26 @@ def test_licences(spark, texts):
         assert scan(t)[:5] == (len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at})))
 
 
+def test_licence_tags(spark):
+    from vellum.llm.licences import licences, scan
+
+    def of(text):
+        r = scan(text)
+        return r[5], r[7], r[8]
+
+    assert of("x\n// SPDX-License-Identifier: MIT This file is free\n") == ("mit", ["mit"], True)
+    assert of('<!-- SPDX-License-Identifier: "(MIT OR GPL-2.0-only) AND Apache-2.0" -->') == ("apache,gpl,mit", ["mit gpl-2.0-only or apache-2.0 and"], True)
+    assert of("SPDX-License-Identifier: GPL-2.0-or-later WITH Classpath-exception-2.0 */") == ("gpl", ["gpl-2.0-or-later classpath-exception-2.0 with"], False)
+    assert of("SPDX-License-Identifier: MIT OR") == ("mit", ["mit"], True) and of("SPDX-License-Identifier: ???") == ("unparsed", [], False)
+    both = scan("SPDX-License-Identifier: MIT\nSPDX-License-Identifier: GPL-3.0\nthe apache license")
+    assert (both[4], both[5], both[8]) == ("apache", "apache,gpl,mit", False) and abs(both[6] - (1 - 0.1 * 0.01 * 0.01)) < 1e-12
+    assert scan("")[:8] == (0, 0, None, None, "", "", 0.0, [])
+    rows = licences(spark.createDataFrame([(1, "mit license"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.labels, r.n_base) for r in rows] == [("mit", 1), ("", 0)]
+    long_text = "the mit license of " * 50000
+    assert scan(long_text)[1:4] == (50000, 1, 4 * 49999 + 1)
+
+
 def test_token_ids_and_files(spark, texts):
     from tokenizers import Tokenizer
 
@@ -125,6 +145,74 @@ def test_packing(spark, texts):
     assert solve({}) == ([], 0.0) and sum(k for _, k in plan) >= bound
 
 
+def one_by_one(points, gram=16, window=16):
+    from vellum.llm.winnowing import _BASE, _mix
+
+    base, mask = int(_BASE), (1 << 64) - 1
+    n = len(points)
+    if not n:
+        return [], []
+    letters = [int(x) for x in _mix(points.astype(np.uint64) + np.uint64(1))]
+    if n < gram:
+        return [int(_mix(np.array([sum(x * pow(base, i + 1, 1 << 64) for i, x in enumerate(letters)) & mask], np.uint64))[0])], [0]
+    rolled = [sum(x * pow(base, gram - 1 - i, 1 << 64) for i, x in enumerate(letters[j : j + gram])) & mask for j in range(n - gram + 1)]
+    hashes = [int(x) for x in _mix(np.array(rolled, np.uint64))]
+    places = []
+    for low in range(max(1, len(hashes) - window + 1)):
+        part = hashes[low : low + window]
+        place = low + max(i for i, x in enumerate(part) if x == min(part))
+        if place not in places[-1:]:
+            places.append(place)
+    return [hashes[i] for i in places], places
+
+
+def fractional(histogram, capacity=2048):
+    """The configuration program's value, to a hundredth of a percent, over all maximal configurations by multiplicative weights of many small steps."""
+    lengths = sorted(histogram, reverse=True)
+    made = []
+
+    def grow(i, room, held):
+        if i == len(lengths):
+            made.append(held)
+            return
+        for k in range(room // lengths[i], -1, -1):
+            grow(i + 1, room - k * lengths[i], [*held, k])
+            if i == len(lengths) - 1:
+                break
+
+    grow(0, capacity, [])
+    rows, d = np.array(made, float), np.array([histogram[n] for n in lengths], float)
+    price, best = np.array(lengths, float), 0.0
+    for size in (0.3, 0.03, 0.003):  # the bound rises towards the value
+        for _ in range(6000):
+            worth = rows @ price
+            j = int(worth.argmax())
+            best = max(best, float(price @ d) / worth[j])
+            price *= np.exp(-size * rows[j] / d * (d[rows[j] > 0] / rows[j][rows[j] > 0]).min())
+    return best
+
+
+def test_packing_solves_the_program():
+    from vellum.llm.packing import best_fit, solve
+
+    count = lambda plan: sum(k for _, k in plan)
+    fixed = [{1100: 1000, 700: 2000, 340: 1500}, {700: 3000, 650: 2000, 420: 1000, 300: 500}, {1000: 500, 690: 1500, 530: 1700, 410: 900}, {820: 3000, 600: 3000, 500: 3000}]
+    rng = np.random.default_rng(7)
+    for h in fixed + [{int(n): int(k) for n, k in zip(rng.integers(200, 1900, 5), rng.integers(500, 3000, 5))} for _ in range(6)]:
+        plan, bound = solve(h)
+        value = fractional(h)
+        assert bound <= value * 1.002 and count(plan) <= value * 1.01 + len(h), (h, count(plan), bound, value)
+    for _ in range(100):
+        h = {int(n): int(k) for n, k in zip(rng.integers(1, 2049, rng.integers(1, 9)), rng.integers(1, 400, 8))}
+        plan, bound = solve(h)
+        placed = Counter()
+        for held, times in plan:
+            assert times > 0 and sum(n * k for n, k in held.items()) <= 2048
+            for n, k in held.items():
+                placed[n] += k * times
+        assert placed == Counter(h) and bound - 1e-6 <= count(plan) <= count(best_fit(h, 2048))
+
+
 def test_winnowing(spark, texts):
     from vellum.llm.winnowing import code_points, digest, likeness, winnow
 
@@ -137,7 +225,13 @@ def test_winnowing(spark, texts):
         r, a, b = got.loc[doc], winnow(code_points(t)), winnow(code_points(edited))
         assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(edited.encode()).hexdigest(), digest(a), digest(b))
         assert r.near_edited == likeness(np.unique(a[0]), np.unique(b[0]))
+        assert r.near_next == likeness(np.unique(a[0]), np.unique(winnow(code_points(after))[0]))
     random.seed(2)
+    for _ in range(300):  # windows one by one: the least hash of each, the rightmost of equal ones
+        points = code_points("".join(random.choice("ab") for _ in range(random.randint(0, 70))))
+        h, at = one_by_one(points)
+        got_h, got_at = winnow(points)
+        assert got_at.tolist() == at and got_h.tolist() == h
     for _ in range(50):  # a shared passage of gram + window - 1 characters is found
         shared = "".join(random.choice("abcdef") for _ in range(31))
         x, y = (winnow(code_points("".join(random.choice("uvwxyz") for _ in range(20)) + shared + "".join(random.choice("uvwxyz") for _ in range(20)))) for _ in range(2))
@@ -164,6 +258,14 @@ def test_template_classes():
     assert extract(page, [words], 9) == "News & more\n\nof today" and extract(page, [], 1).startswith("We use")
 
 
+def test_names_inside_articles():
+    from vellum.llm.html_template import extract
+
+    page = '<article><header><h1 id="share">Title</h1></header><h2 id="related-work">Related work</h2><p class="notice-period">Notice period text</p><div class="share">tweet</div><p>x</p></article>'
+    assert extract(page, [], 1) == "Title\n\nRelated work\n\nNotice period text\n\nx"
+    assert extract('<div class="site-header">h</div><p>the cat sat</p>', [["the", "q"], ["cat", "r"], ["sat", "s"]], 9) == "the cat sat"
+
+
 def test_template_slots(spark):
     """Text repeated inside articles is template; main text outside a teaser and single pages' text stay."""
     from vellum.llm.html_template import main_text
@@ -199,6 +301,20 @@ def test_warc(spark):
     assert sorted(r.payload for r in read_archives(written).where("record_type = 'response'").collect())[-1] == ("é" * 9).encode()
     rows = index_captures(written, fan_in=2).orderBy("range_id").collect()
     assert len(rows) == 5 and [(r.url_key, r.timestamp) for r in rows] == sorted((r.url_key, r.timestamp) for r in rows)
+    kinds = {(r.page_id, r.payload_bytes): [] for r in rows}
+    for r in rows:
+        kinds[r.page_id, r.payload_bytes].append((r.record_type, r.refers_to))
+    assert kinds == {(1, 0): [("revisit", 2)], (2, 0): [("response", None)] * 2, (3, 18): [("response", None)], (None, 18): [("revisit", 3)]}
+    nulls = spark.createDataFrame([(None, "u", "x"), (None, "v", "x")], "page_id long, url string, html string")
+    assert [(r.record_type, r.refers_to) for r in index_captures(write_archives(nulls)).collect()] == [("response", None)] * 2
+    many = spark.range(300).selectExpr("id as page_id", "concat('http://h', id % 7, '.org/', id % 3) as url", "repeat('p', int(id % 50)) as html").repartition(12)
+    got = index_captures(write_archives(many, archive_bytes=9000), fan_in=4, range_rows=20, block_rows=8).orderBy("range_id").collect()
+    assert len({r.range_id for r in got}) > 3 and [(r.url_key, r.timestamp, r.page_id) for r in got] == sorted((r.url_key, r.timestamp, r.page_id) for r in got)
+    seen = Counter()
+    for r in got:
+        assert r.history == seen[r.url_key]
+        seen[r.url_key] += 1
+    assert len(got) == 300 and sum(r.record_type == "response" for r in got) == 50
     assert index_captures(write_archives(odd.limit(0))).count() == 0
     random.seed(1)
     for k in range(1, 9):
@@ -249,6 +365,64 @@ def test_jaccard_large_group(spark):
     assert [r.component_id for r in got] == label and [r.n_shingles for r in got] == [len(s) for s in sets]
 
 
+def test_jaccard_group_beyond_its_centre(spark):
+    """Near copies with one to twelve edits each, some sharing edits: many aren't similar to the first text, but to each other."""
+    from vellum.llm.jaccard import jaccard_components, shingle_sets, similar
+
+    random.seed(9)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(150)]
+    docs, kinds = [" ".join(base)], []
+    for _ in range(12):  # versions far from the base, with copies of their own
+        w = list(base)
+        for at in random.sample(range(150), random.randint(4, 9)):
+            w[at] = word()
+        kinds.append(w)
+    for _ in range(330):
+        w = list(random.choice([base, *kinds]))
+        for _ in range(random.randint(0, 12)):
+            i = random.randrange(len(w))
+            w[i : i + 1] = random.choice([[word()], [], [w[i], word()]])
+        docs.append(" ".join(w))
+    sets = shingle_sets(docs, 5)
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(i):
+            if similar(sets[i], sets[j], 80):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert len(set(label)) > 20
+    got = jaccard_components(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(3)).orderBy("doc_id").collect()
+    assert [r.component_id for r in got] == label
+
+
+def test_jaccard_bands_have_no_end():
+    from vellum.llm.jaccard import Bands, mix, sketch_words
+
+    bands = Bands(80)
+    assert 3 * len(bands.lows) < 256 and bands.of(1 << 31) < len(bands.lows) - 1
+    big = mix(np.arange(1, 1_300_001, dtype=np.uint64))
+    words = sketch_words(big, bands)
+    other = sketch_words(big[:1_200_000], bands)
+    assert len(words) < 3 * 1_300_000 and len(np.intersect1d(words, other)) > bands.spare(bands.of(1_200_000)) // 4
+
+
+def test_mixing_reaches_the_least_squares(spark):
+    """Fitted totals against a plain projected gradient of many steps, with targets that can and that can't be met."""
+    from vellum.llm.mixing import DOMAINS, fit_rates
+
+    rows = [(100, [0.9, 0.1, 0.0]), (50, [0.2, 0.7, 0.1]), (80, [0.1, 0.1, 0.8]), (0, [0.4, 0.3, 0.3]), (30, [0.5, 0.25, 0.25]), (30, [0.5, 0.25, 0.25]), (7, [0.3, 0.3, 0.4])]
+    n, p = np.array([r[0] for r in rows], float), np.array([r[1] for r in rows])
+    df = spark.createDataFrame(rows, "n_tokens long, posterior array<double>")
+    for targets in ({"good": 0.6, "poor": 0.3, "toxic": 0.1}, {"good": 0.1, "poor": 0.8, "toxic": 0.1}, {"good": 0.97, "poor": 0.01, "toxic": 0.02}):
+        b, w = np.array([targets[d] for d in DOMAINS]) * 200, np.ones(len(n))
+        for _ in range(200_000):
+            w = np.maximum(0, w + 0.004 * p @ (b - (w * n) @ p))
+        _, totals = fit_rates(df, targets=targets, budget=200.0)
+        left = lambda got: float(np.linalg.norm(b - got))
+        assert left(np.array([totals[d][1] for d in DOMAINS])) <= left((w * n) @ p) + 0.1, (targets, totals, (w * n) @ p)
+
+
 def test_mixing(spark):
     from vellum.llm.common import table
     from vellum.llm.mixing import DOMAINS, fit, fit_rates, mix, posteriors
