@@ -69,3 +69,31 @@ def test_names_are_never_overwritten(tmp_path):
     with pytest.raises(settings.NameTaken):
         sinks.publish(sinks.put(tmp_path / "s.md", b"other"), tmp_path / "final.md")
     assert (tmp_path / "final.md").read_bytes() == b"text"
+
+
+def test_source_files_and_artifacts(spark, tmp_path):
+    import hashlib
+
+    from vellum.sources import files
+
+    contents = {"a.pdf": b"%PDF-1.7\n...trailer << /Root 1 >>", "b.pdf": b"%PDF-1.4 x" + b"y" * 9000 + b"trailer << /Encrypt 5 0 R >>", "c.pdf": b"hello", "d.pdf": b""}
+    for name, data in contents.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.status, r.source_sha256, r.n_bytes) for r in files.documents(spark, str(tmp_path)).collect()}
+    assert {n: x[0] for n, x in got.items()} == {"a.pdf": "ok", "b.pdf": "encrypted", "c.pdf": "not_pdf", "d.pdf": "empty"}
+    assert all(got[n][1:] == (hashlib.sha256(d).hexdigest(), len(d)) for n, d in contents.items())
+    pinned = {n: hashlib.sha256(d).hexdigest() for n, d in contents.items()}
+    files.verify_artifacts(spark, str(tmp_path), pinned)
+    faulty = {**pinned, "c.pdf": "0" * 64, "e.bin": "0" * 64}
+    assert [tuple(r) for r in files.artifact_faults(spark, str(tmp_path), faulty).orderBy("name").collect()] == [("c.pdf", "differs"), ("e.bin", "missing")]
+    with pytest.raises(ValueError, match="c.pdf"):
+        files.verify_artifacts(spark, str(tmp_path), faulty)
+
+
+def test_candidates_are_written_by_family(spark, tmp_path):
+    from vellum.sources import files
+
+    rows = spark.createDataFrame([("ocr:tesseract", "x"), ("docling", "é"), ("ocr:rapidocr", "y")], "technique string, text string")
+    files.write_candidates(rows, str(tmp_path / "out"))
+    back = spark.read.json(str(tmp_path / "out"))
+    assert sorted((r.family, r.text) for r in back.collect()) == [("docling", "é"), ("ocr", "x"), ("ocr", "y")]

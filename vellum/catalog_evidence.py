@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vellum.catalog import LOG, PAGE, RECALL, _log, _read, query
-from vellum.catalog_delivery import CAND, _segments
-from vellum.operators import candidates, checks, identity, resolutions, review, selection, validate
+from vellum import catalog
+from vellum.catalog import EVIDENCE, LOG, OCR, PAGE, RECALL, _classed, _log, _read, query
+from vellum.catalog_delivery import CAND, DECIDED, DETECTED, _decided, _segments
+from vellum.operators import candidates, checks, delivery, identity, metrics, reliability, resolutions, review, selection, validate
 from vellum.sources import words as source
 
 SPECS = ("2,5-7,10-12", "10-5", "2,foo,5", "2-6,5-9", "0,3", "", "4,,5", " 3 , 1-2")
@@ -241,8 +242,6 @@ UNION ALL SELECT doc_id, 'gross_divergence', -1, CAST(matched AS VARCHAR), 'cont
 UNION ALL SELECT doc_id, 'numeric_mismatch', -1, t, 'content' FROM num WHERE r <> h
 UNION ALL SELECT doc_id, 'duplicated_header', block, sha1(text), 'structure' FROM (SELECT *, lag(text) OVER (PARTITION BY doc_id ORDER BY block) AS b FROM hb) WHERE text = b""")
 def validation_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellum.operators import delivery
-
     docs = _delivered(spark, sf_dir)
     blocks = lambda c: docs.select("doc_id", F.posexplode(F.split(c, "\n")).alias("block", "text"))
     take = lambda c, p: F.regexp_extract_all(F.col(c), F.lit(p), F.lit(1))
@@ -268,8 +267,6 @@ def table_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""+ ocr_ AS (SELECT doc_id, page, vline, min(greatest(conf, 0.0)) AS confidence FROM words WHERE trim(text) <> '' GROUP BY ALL)
 SELECT doc_id, 'ocr_low_confidence' AS issue, page::BIGINT AS place, CAST(count(*) FILTER (confidence < 70) AS VARCHAR) AS detail, 'evidence' AS defect_class FROM ocr_ GROUP BY doc_id, page HAVING count(*) FILTER (confidence < 70) > 0""", with_words=True)
 def low_confidence_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vellum.operators import reliability
-
     return checks.low_confidence(reliability.region_records(reliability.ocr_lines(source.words(spark, sf_dir))), "doc_id")
 
 
@@ -324,3 +321,78 @@ def lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = _read(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber as item_id", "l_orderkey as segment")
     hops = [("segment", _read(spark, sf_dir, "orders").where("o_orderkey % 19 <> 0").selectExpr("o_orderkey as segment", "o_custkey as decision")), ("decision", _read(spark, sf_dir, "customer").where("c_custkey % 23 <> 0").selectExpr("c_custkey as decision", "c_nationkey as block")), ("block", _read(spark, sf_dir, "nation").where("n_nationkey % 7 <> 0").selectExpr("n_nationkey as block", "n_regionkey as span"))]
     return checks.lineage(items, hops).select("item_id", "status")
+
+
+@query(DETECTED + """, o AS (SELECT doc_id, detected, CASE doc_id % 6 WHEN 0 THEN ' PT, en ,' WHEN 1 THEN ' , ' END AS asked FROM d),
+v AS (SELECT *, coalesce(list_filter(list_transform(string_split(lower(asked), ','), lambda x: trim(x)), lambda x: x <> ''), []) AS ov FROM o)
+SELECT doc_id, array_to_string(CASE WHEN len(ov) > 0 THEN ov WHEN detected <> 'und' THEN [detected] ELSE [] END, ',') AS languages, CASE WHEN len(ov) > 0 THEN 'override' ELSE 'auto' END AS language_source, CASE WHEN len(ov) > 0 THEN ov[1] ELSE detected END AS primary_language FROM v""")
+def language_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metrics.detected_language(_read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    asked = F.when(F.col("doc_id") % 6 == 0, " PT, en ,").when(F.col("doc_id") % 6 == 1, " , ")
+    made = found.withColumn("r", metrics.language_result(asked, F.col("detected")))
+    return made.select("doc_id", F.array_join("r.languages", ",").alias("languages"), F.col("r.language_source").alias("language_source"), F.col("r.primary").alias("primary_language"))
+
+
+@query("SELECT doc_id, array_to_string(list_filter([lang, 'xx', CASE WHEN doc_id % 3 = 0 THEN 'ja' ELSE 'pt' END], lambda x: x NOT IN ('pt', 'en', 'es', 'fr', 'it', 'de')), ',') AS unsupported FROM documents")
+def unsupported_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = F.array("lang", F.lit("xx"), F.when(F.col("doc_id") % 3 == 0, "ja").otherwise("pt"))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.array_join(metrics.unsupported(asked), ",").alias("unsupported"))
+
+
+@query(OCR + """, """ + EVIDENCE.lstrip().lstrip("+").strip() + """, regions_ AS (SELECT doc_id, page, -1 AS band, 0.0::DOUBLE AS top, 792.0::DOUBLE AS bottom FROM classes WHERE page_class = 'ocr_required'
+UNION ALL SELECT c.doc_id, c.page, band, band * 66.0::DOUBLE, (band + 1) * 66.0::DOUBLE FROM classed c SEMI JOIN (SELECT * FROM classes WHERE page_class = 'hybrid_native_and_ocr') p ON p.doc_id = c.doc_id AND p.page = c.page WHERE kind = 'needs_ocr')
+SELECT r.doc_id, r.page, r.band, count(o.line) AS lines, count(*) FILTER (o.confidence < 70) AS low_confidence, round(coalesce(avg(o.confidence), 0), 6) AS mean_confidence FROM regions_ r LEFT JOIN ocr_ o ON o.doc_id = r.doc_id AND o.page = r.page AND (o.top + o.bottom) / 2 >= r.top AND (o.top + o.bottom) / 2 < r.bottom GROUP BY ALL""", with_words=True)
+def ocr_region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    classed = _classed(spark, sf_dir)
+    regions = reliability.ocr_regions(classed, reliability.page_class(classed), source.HEIGHT)
+    return reliability.lines_in_regions(regions, reliability.ocr_lines(source.words(spark, sf_dir))).withColumn("mean_confidence", F.round("mean_confidence", 6))
+
+
+@query(PARSED.replace("WITH s AS", "+ s AS", 1) + """, e AS (SELECT p.doc_id, unnest(range(lo, hi + 1)) AS page FROM p JOIN r USING (doc_id) WHERE p.fault IS NULL UNION ALL SELECT doc_id, unnest(range(1, 100000)) FROM p WHERE whole)
+SELECT w.doc_id, w.page, count(*) AS words FROM words w SEMI JOIN e ON e.doc_id = w.doc_id AND e.page = w.page GROUP BY ALL""", with_words=True)
+def selected_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the requested pages only: the filter is on the page, before anything is laid out."""
+    rows = _selections(spark, sf_dir).where("fault is null").select("doc_id", "ranges")
+    wanted = source.words(spark, sf_dir).join(rows, "doc_id").where((F.size("ranges") == 0) | F.exists("ranges", lambda r: F.col("page").between(r["lo"], r["hi"])))
+    return wanted.groupBy(*PAGE).agg(F.count("*").alias("words"))
+
+
+@query(DECIDED + " SELECT doc_id, CASE WHEN count(*) FILTER (method = 'review') > 0 THEN 'stop' ELSE 'build' END AS action, count(*) AS groups, CASE WHEN count(*) FILTER (method = 'review') > 0 THEN 6 ELSE 0 END AS exit_code FROM decided GROUP BY doc_id")
+def reconciliation_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is built once nothing in it waits for a person."""
+    made = _decided(spark, sf_dir).groupBy("doc_id").agg(F.count_if(F.col("method") == "review").alias("waiting"), F.count("*").alias("groups"))
+    return made.select("doc_id", F.when(F.col("waiting") > 0, "stop").otherwise("build").alias("action"), "groups", F.when(F.col("waiting") > 0, 6).otherwise(0).alias("exit_code"))
+
+
+@query(catalog.ORACLE_SQL["cer"].replace("SELECT doc_id, page, round(CASE", ", each_page AS (SELECT doc_id, page, round(CASE").replace("AS cer FROM q", "AS cer FROM q) SELECT lang, count(*) AS pages, round(avg(cer), 5) AS mean_cer, count(*) FILTER (cer <= 0.2) AS pages_within FROM each_page JOIN documents USING (doc_id) GROUP BY lang"))
+def truth_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages' error rates joined with what is known of their documents, by language."""
+    truth = _read(spark, sf_dir, "documents").select("doc_id", "lang")
+    return catalog.cer(spark, sf_dir).join(truth, "doc_id").groupBy("lang").agg(F.count("*").alias("pages"), F.round(F.avg("cer"), 5).alias("mean_cer"), F.count_if(F.col("cer") <= 0.2).alias("pages_within"))
+
+
+@query(r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i, unnest(string_split(text, chr(10))) AS t FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(t, '^[0-9]+[.)] ') THEN 'clause' WHEN regexp_matches(t, '^[-*] ') THEN 'list_item' WHEN i = 0 THEN 'heading' ELSE 'paragraph' END AS kind, count(*) AS blocks, CAST(min(i) AS INTEGER) AS first_block, CAST(max(i) AS INTEGER) AS last_block FROM l GROUP BY ALL""")
+def semantic_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks of each document by kind, with where the kind begins and ends."""
+    blocks = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block", "text"))
+    return blocks.groupBy("doc_id", delivery.block_kind(F.col("text"), F.col("block")).alias("kind")).agg(F.count("*").alias("blocks"), F.min("block").alias("first_block"), F.max("block").alias("last_block"))
+
+
+@query("""WITH i AS (SELECT o_custkey AS queue, count(*) FILTER (o_orderstatus = 'O') AS open, count(*) FILTER (o_orderstatus <> 'O') AS resolved, bool_or(o_orderkey % 4 = 0) AS authorized FROM orders GROUP BY o_custkey)
+SELECT queue, open, resolved, CASE WHEN open > 0 THEN 'unresolved' WHEN authorized THEN 'authorized' ELSE 'resolved_unauthorized' END AS run_state, CASE WHEN open > 0 OR NOT authorized THEN 6 ELSE 0 END AS exit_code FROM i""")
+def review_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = _read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("queue")).agg(F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.count_if(F.col("o_orderstatus") != "O").alias("resolved"), F.bool_or(F.col("o_orderkey") % 4 == 0).alias("authorized"))
+    no = F.lit(False)
+    state = delivery.run_state(F.col("open") > 0, no, no, no, no, F.col("authorized"))
+    return counts.select("queue", "open", "resolved", state.alias("run_state"), F.when((F.col("open") > 0) | ~F.col("authorized"), 6).otherwise(0).alias("exit_code"))
+
+
+@query("""SELECT doc_id, 'doc' || doc_id || '.md' AS path, sha256(coalesce(text, '')) AS sha256, strlen(coalesce(text, '')) AS n_bytes, doc_id % 3 = 0 AS llm_used, false AS network_egress FROM documents""")
+def artifact_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run has written, by name, digest and size."""
+    from vellum.operators import records
+
+    text = F.coalesce("text", F.lit(""))
+    name = records.artifact_name(F.concat(F.lit("doc"), F.col("doc_id").cast("string")), F.lit(None).cast("string"), F.lit("r"), "markdown")
+    return _read(spark, sf_dir, "documents").select("doc_id", name.alias("path"), F.sha2(text, 256).alias("sha256"), F.octet_length(text).cast("long").alias("n_bytes"), (F.col("doc_id") % 3 == 0).alias("llm_used"), F.lit(False).alias("network_egress"))

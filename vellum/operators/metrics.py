@@ -84,3 +84,20 @@ def detected_language(docs: DataFrame, key: str, text: str) -> DataFrame:
     counts = votes.groupBy(key, "code").agg(F.count("*").alias("n"))
     best = counts.groupBy(key).agg(F.min_by("code", F.struct(-F.col("n"), F.col("code"))).alias("detected"))
     return docs.join(best, key, "left").withColumn("detected", F.coalesce("detected", F.lit("und")))
+
+
+#: The languages that detection may name.
+SUPPORTED = ("pt", "en", "es", "fr", "it", "de")
+
+
+def language_result(override: Column, detected: Column) -> Column:
+    """struct(languages, language_source, primary): an override (codes with commas; blank ones don't count) wins over what was detected; ``und`` is no language."""
+    codes = F.filter(F.transform(F.split(F.lower(F.coalesce(override, F.lit(""))), ","), lambda x: F.trim(x)), lambda x: x != "")
+    given = F.size(codes) > 0
+    languages = F.when(given, codes).when(F.coalesce(detected, F.lit("und")) != "und", F.array(detected)).otherwise(F.array().cast("array<string>"))
+    return F.struct(languages.alias("languages"), F.when(given, "override").otherwise("auto").alias("language_source"), F.coalesce(F.get(languages, 0), F.lit("und")).alias("primary"))
+
+
+def unsupported(languages: Column) -> Column:
+    """Codes that an engine of the supported set must reject."""
+    return F.array_except(languages, F.array(*map(F.lit, SUPPORTED)))

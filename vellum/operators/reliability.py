@@ -59,3 +59,12 @@ def ocr_lines(words: DataFrame, threshold: float = 70.0) -> DataFrame:
 
 def region_records(lines: DataFrame, threshold: float = 70.0) -> DataFrame:
     return lines.groupBy(*PAGE).agg(F.coalesce(F.avg("confidence"), F.lit(0.0)).alias("mean_confidence"), F.count_if(F.col("confidence") < threshold).alias("low_confidence"), F.count("*").alias("lines"))
+
+
+def lines_in_regions(regions: DataFrame, lines: DataFrame, threshold: float = 70.0) -> DataFrame:
+    """regions(page, band, top, bottom) with their lines, by the lines' middles: how many, how many of low confidence, and the mean (0 without any)."""
+    middle = (F.col("l_top") + F.col("l_bottom")) / 2
+    near = lines.select(*PAGE, "confidence", F.col("top").alias("l_top"), F.col("bottom").alias("l_bottom"))
+    held = regions.select(*PAGE, "band", "top", "bottom").join(near, PAGE).where((middle >= F.col("top")) & (middle < F.col("bottom")))
+    counted = held.groupBy(*PAGE, "band").agg(F.count("*").alias("lines"), F.count_if(F.col("confidence") < threshold).alias("low_confidence"), F.avg("confidence").alias("mean_confidence"))
+    return regions.select(*PAGE, "band").join(counted, [*PAGE, "band"], "left").na.fill(0, ["lines", "low_confidence"]).na.fill(0.0, ["mean_confidence"])
