@@ -16,6 +16,7 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from vellum.llm.common import fresh, materialize, table
 from vellum.llm.jaccard import SHINGLE, jaccard_components, set_id, shingle_sets
@@ -37,7 +38,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return with_text(made.where(F.col(q)["kept"]), F.col(q)["clean"]).drop(q)
 
 
-@F.arrow_udf("long")
+@F.arrow_udf(LongType())
 def set_of(text: pa.Array) -> pa.Array:
     return pa.array([set_id(x) for x in shingle_sets(text.to_pylist(), SHINGLE)], pa.int64())
 
