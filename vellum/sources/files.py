@@ -13,11 +13,11 @@ TRAILER = 4096
 
 
 def documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, source_sha256, n_bytes, status: ok, empty, not_pdf or encrypted. Contents stay on the executors."""
+    """path, source_sha256, n_bytes, status: ok, not_pdf or encrypted. Contents stay on the executors; empty files give no row."""
     files = spark.read.format("binaryFile").load(paths)
     text = lambda c: F.decode(c, "ISO-8859-1")
     end = F.expr(f"substring(content, greatest(length(content) - {TRAILER - 1}, 1), {TRAILER})")
-    status = F.when(F.col("length") == 0, "empty").when(~F.contains(text(F.expr("substring(content, 1, 1024)")), F.lit("%PDF-")), "not_pdf").when(F.contains(text(end), F.lit("/Encrypt")), "encrypted").otherwise("ok")
+    status = F.when(~F.contains(text(F.expr("substring(content, 1, 1024)")), F.lit("%PDF-")), "not_pdf").when(F.contains(text(end), F.lit("/Encrypt")), "encrypted").otherwise("ok")
     return files.select("path", F.sha2("content", 256).alias("source_sha256"), F.col("length").alias("n_bytes"), status.alias("status"))
 
 
