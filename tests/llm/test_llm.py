@@ -511,3 +511,81 @@ def test_one_row_of_each_group_stays(spark):
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
     groups = sorted((next(x for x in (a, b, c, "own") if r.text.startswith(x)), -1 if r.doc_id is None else r.doc_id) for r in got)
     assert groups == sorted([(a, 2), (b, -1), (c, 1), ("own", 2)])
+
+
+def brute_quality(rows):
+    """Kept (doc_id, text without lines above the limit) of (doc_id, source, text), by dictionaries of whole lines."""
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    norm = lambda x: " ".join(words(x.lower()))
+    seen = {}
+    for _, host, t in rows:
+        for x in (t or "").split("\n"):
+            if norm(x):
+                seen.setdefault((host, norm(x)), set()).add(t)
+    out = []
+    for doc, host, t in rows:
+        w = words(t or "")
+        grams = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        again = {i + j for i in range(len(w) - 2) if grams[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        if len(w) < 50 or 100 * len(again) > 50 * len(w):
+            continue
+        clean = "\n".join(x for x in t.split("\n") if not norm(x) or len(seen[host, norm(x)]) <= 10)
+        if len(words(clean)) >= 0.5 * len(w):
+            out.append((doc, clean))
+    return out
+
+
+def test_pipeline_against_brute_force(spark):
+    """Every stage on what the one before it has kept, each held against a plain version."""
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from vellum.llm.common import materialize, table
+    from vellum.llm.jaccard import shingle_sets, similar
+    from vellum.llm.pii import masked, scan
+    from vellum.llm.tokens import vocabulary_path
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "ngram_jaccard_join", "pii", "mixing", "best_fit_packing"]
+    stages = dict(corpus_pipeline.STAGES)
+    docs = table(spark, SF, "documents")
+    before = {r.doc_id: r for r in docs.collect()}
+    one = materialize(stages["quality_rules"](spark, docs, SF), "t")
+    got = {r.doc_id: r for r in one.collect()}
+    assert {k: r.text for k, r in got.items()} == dict(brute_quality([(r.doc_id, r.source, r.text) for r in before.values()])) and one.columns == docs.columns
+    assert all(r.n_chars == len(r.text) and r.lang == before[k].lang for k, r in got.items())
+    two = materialize(stages["ngram_jaccard_join"](spark, one, SF), "t")
+    ids = sorted(got)
+    sets = shingle_sets([got[k].text for k in ids], 5)
+    label = list(range(len(ids)))
+    for i in range(len(ids)):
+        for j in range(i):
+            if similar(sets[i], sets[j], 80):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    kept = {r.doc_id: r for r in two.collect()}
+    assert sorted(kept) == sorted({ids[x] for x in label}) and all(kept[k] == got[k] for k in kept) and two.count() == len(kept)
+    three = materialize(stages["pii"](spark, two, SF), "t")
+    for r in three.collect():
+        assert r.text == masked(kept[r.doc_id].text, scan(kept[r.doc_id].text)) and not brute_pii(r.text) and r.n_chars == len(r.text)
+    four = materialize(stages["mixing"](spark, three, SF), "t")
+    toxic = {r.doc_id for r in table(spark, SF, "labels").where("toxic = 1").collect()}
+    rows = {r.doc_id: r for r in three.collect()}
+    mixed = four.collect()
+    copies = Counter(r.doc_id for r in mixed)
+    assert all(r == rows[r.doc_id] for r in mixed) and not toxic & set(copies) and four.columns == docs.columns and len(copies) > 0.7 * len(set(rows) - toxic)
+    five = corpus_pipeline.run(spark, SF).collect()
+    plain = Tokenizer.from_file(vocabulary_path())
+    want = Counter()
+    for r in mixed:
+        data = np.array([*plain.encode(r.text, add_special_tokens=False).ids, 0], "<u4")
+        first = len(data) % 2048 or min(len(data), 2048)
+        for i, at in enumerate([0, *range(first, len(data), 2048)]):
+            part = data[at : first if i == 0 else at + 2048]
+            want[r.doc_id, i, at, len(part), zlib.crc32(part.tobytes())] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in five) == want
+    held = {}
+    for r in five:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in held.values():
+        parts.sort()
+        assert all(a == sum(n for _, n in parts[:i]) for i, (a, _) in enumerate(parts)) and sum(n for _, n in parts) <= 2048

@@ -17,6 +17,8 @@ gain less than a tenth of that (what is left can't be met), or after ``STEPS``;
 A step needs a few sums over all documents, which return to the driver; a document's rate is a fold over the steps so far,
 so nothing is written between steps.
 
+A domain without a target takes no part in the fit: documents that belong to it with a chance of ``DOUBT`` or more go (rate 0), and the targets of the others are met by what is left.
+
 Edge cases: null texts are empty, have no tokens, and keep the rate their posterior gives; without labels all domains are equally
 likely; null ids take part; repeated rows get equal rates; a target that no document can serve stays unmet and is reported by ``totals``.
 """
@@ -191,7 +193,8 @@ def fit_rates(members: DataFrame, *, targets: dict[str, float] = TARGETS, budget
         moved = F.col("w_") - F.col("v_")
         row = rated.agg(F.sum(n * moved * moved).alias("m"), *(F.sum(n * p[i] * F.col("w_")).alias(f"t{i}") for i in range(k)), *(F.sum(on * p[i] * p[j]).alias(f"g{i}{j}") for i in range(k) for j in range(i, k))).first()
         value = lambda name: float(row[name] or 0.0)
-        return [value(f"t{i}") for i in range(k)], [[value(f"g{min(i, j)}{max(i, j)}") for j in range(k)] for i in range(k)], value("m")
+        cell = lambda i, j: value(f"g{min(i, j)}{max(i, j)}") if goal[i] and goal[j] else 0.0
+        return [value(f"t{i}") for i in range(k)], [[cell(i, j) for j in range(k)] for i in range(k)], value("m")
 
     share = sum(targets.values()) or 1.0
     goal = [targets.get(d, 0.0) / share for d in DOMAINS]
@@ -201,7 +204,7 @@ def fit_rates(members: DataFrame, *, targets: dict[str, float] = TARGETS, budget
         budget = max((h / g, h, g) for h, g in zip(have, goal, strict=True) if g == max(goal))[0] if grow else sum(h for h, g in zip(have, goal, strict=True) if g > 0)
     b = [g * budget for g in goal]
     size = lambda r: math.sqrt(sum(x * x for x in r))
-    short = lambda got: [x - y for x, y in zip(b, got, strict=True)]
+    short = lambda got: [x - y if g else 0.0 for x, y, g in zip(b, got, goal, strict=True)]
     got, whole, _ = sums([])
     steps: list[list[float]] = []
     done = lambda got: budget <= 0 or max(map(abs, short(got))) <= TOLERANCE * budget
