@@ -12,8 +12,8 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch. Texts may be very long, so a batch is kept to a few MB of usual texts.
-ARROW_ROWS = 400
+#: Rows and bytes of one Arrow batch. Texts and sets may be very long, and a batch is held several times over.
+ARROW_ROWS, ARROW_BYTES = 400, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,7 @@ def small_batches(spark: SparkSession) -> None:
     """Bound Arrow batches: whole texts of unknown length travel in them."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:

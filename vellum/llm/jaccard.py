@@ -324,16 +324,25 @@ def from_centre(groups: DataFrame, contents: DataFrame, percent: int) -> DataFra
     full = dealt.join(contents.hint(MERGE), "sid").join(centre.hint(MERGE), ["c", "part"]).select("c", "sid", "hashes", "centre")
 
     def subtract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def flush() -> pa.RecordBatch:
+            columns = [list(x) for x in zip(*held, strict=True)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True)], names=["c", "sid", "n", "s", "near", "elements"])
+
         for batch in batches:
-            n, s, near, rest = [], [], [], []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, _U), np.frombuffer(y, _U)
+            size = 0
+            for c, sid, x, y in zip(*batch.columns, strict=True):
+                a, b = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
                 only = np.setxor1d(a, b, assume_unique=True)
-                n.append(len(a))
-                s.append(len(b))
-                near.append((100 + percent) * len(only) <= (100 - percent) * (len(a) + len(b)))
-                rest.append(only.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(s, pa.int64()), pa.array(near, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["c", "sid", "n", "s", "near", "elements"])
+                held.append((c.as_py(), sid.as_py(), len(a), len(b), (100 + percent) * len(only) <= (100 - percent) * (len(a) + len(b)), only.astype(np.int64)))
+                size += len(only)
+                if size >= PART_BYTES:
+                    yield flush()
+                    size = 0
+            if held:
+                yield flush()
 
     return full.mapInArrow(subtract, "c long, sid long, n long, s long, near boolean, elements array<long>")
 

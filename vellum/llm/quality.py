@@ -7,8 +7,8 @@ A line in more than ``MOST_DOCS`` documents of its host is above the limit, howe
 every document; a document that keeps less than ``least_left`` of its words is depleted and rejected.
 
 Counts are partial aggregates of (host, line), so neither a host nor a line with a third of all rows is a hot key. A document's lines above the limit
-come back to it by its host and text's hash, at most as many as it has lines; no list of all of a host's lines is made. Spark broadcasts a side only under its size threshold, and splits
-skewed partitions of copies otherwise.
+come back to it by its host and text's hash, at most as many as it has lines; no list of all of a host's lines is made; Spark splits
+skewed partitions of copies.
 
 Edge cases: null texts have no words; a null host is the empty host; documents without words fail; repeated rows count once
 (equal texts); lines without a word are never removed; a host with at most ``MOST_DOCS`` documents has no line above the limit.
@@ -84,7 +84,8 @@ def quality(docs: DataFrame, *, text: str = "text", host: str = "source", most_d
     limits = line_limits(docs, text=text, host=host, most_docs=most_docs)
     h, c, l = fresh(docs, "host_"), fresh(docs, "content_"), fresh(docs, "lines_")
     keyed = docs.withColumn(h, F.coalesce(F.col(host).cast("string"), F.lit(""))).withColumn(c, F.xxhash64(text_of(text)))
-    found = keyed.join(limits.select(F.col("host").alias(h), F.col("content").alias(c), F.col("lines").alias(l)), [h, c], "left").select(*(F.col(quoted(x)) for x in docs.columns), F.col(l))
+    # Both sides grow with the data: dealt by the key at every size, and not sorted.
+    found = keyed.join(limits.select(F.col("host").alias(h), F.col("content").alias(c), F.col("lines").alias(l)).hint("shuffle_hash"), [h, c], "left").select(*(F.col(quoted(x)) for x in docs.columns), F.col(l))
     t = text_of(text)
     frequent = F.coalesce(F.col(l), F.array().cast("array<bigint>"))
     lines = F.split(t, "\n")
