@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellum.operators.distance import edit_distance
+
 NUMBER = "(R\\$|US\\$|€|£|\\d+x\\b|\\d[\\d.,]*%?)"
 TOKEN = "([\\p{L}\\p{N}]+(?:[.,][\\p{L}\\p{N}]+)*|R\\$|US\\$|%)"
 
 
 def character_error_rate(reference: Column, hypothesis: Column) -> Column:
     """Edit distance over the reference's length; 0 if both are empty, 1 if only the reference is."""
-    return F.when(F.length(reference) > 0, F.levenshtein(reference, hypothesis) / F.length(reference)).when(F.length(hypothesis) == 0, 0.0).otherwise(1.0)
+    return F.when(F.length(reference) > 0, edit_distance(reference, hypothesis) / F.length(reference)).when(F.length(hypothesis) == 0, 0.0).otherwise(1.0)
 
 
 def multiset_recall(pairs: DataFrame, key: str, reference: Column, hypothesis: Column) -> DataFrame:
