@@ -50,3 +50,10 @@ def test_page_texts_are_the_words_in_order(spark, tmp_path):
         want.setdefault((r.doc_id, r.page), []).append(r.text)
     got = {(r.doc_id, r.page): r.text for r in source.page_texts(spark, str(tmp_path)).collect()}
     assert got == {k: " ".join(v) for k, v in want.items()} and len(got) == 5 and "Exchange" not in source.page_texts(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_truth_metrics_shuffles_no_words(spark):
+    from vellum import catalog_evidence
+
+    plan = catalog_evidence.truth_metrics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "collect_list" not in plan and "levenshtein" not in plan
