@@ -396,6 +396,15 @@ def test_jaccard_group_beyond_its_centre(spark):
     assert [r.component_id for r in got] == label
 
 
+def test_jaccard_deals_texts_by_id_at_every_size(spark):
+    from vellum.llm.jaccard import texts_of
+
+    narrow = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c"), (None, "d")], "doc_id long, text string")
+    found = texts_of(narrow, spark.createDataFrame([(2,), (None,)], "id_ long"))
+    assert sorted(map(tuple, found.collect())) == [(2, "b"), (2, "c")]
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_jaccard_bands_have_no_end():
     from vellum.llm.jaccard import Bands, mix, sketch_words
 

@@ -433,6 +433,11 @@ def star_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def texts_of(narrow: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of narrow whose doc_id is one of wanted(id_). Ids grow with the documents, so texts are dealt by id at every size."""
+    return narrow.join(wanted.where("id_ is not null").hint(MERGE), F.col("doc_id") == F.col("id_"), "left_semi")
+
+
 def set_contents(narrow: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
     """(sid, hashes) of the chosen sets(sid, doc_id), once each."""
 
@@ -441,9 +446,8 @@ def set_contents(narrow: DataFrame, chosen: DataFrame, k: int) -> DataFrame:
             made = shingle_sets(batch.column(0).to_pylist(), k)
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in made], pa.int64()), pa.array([x.tobytes() for x in made], pa.binary())], names=["sid", "hashes"])
 
-    one, other = F.col("doc_id"), F.col("id_")
     wanted = chosen.select(F.col("doc_id").alias("id_")).distinct()
-    found = narrow.join(wanted.where("id_ is not null"), one == other, "left_semi")
+    found = texts_of(narrow, wanted)
     if not wanted.where("id_ is null").isEmpty():
         found = found.union(narrow.where("doc_id is null"))
     found = materialize(found.select("text").mapInArrow(joined_batches(make), "sid long, hashes binary"), "jaccard-contents")
