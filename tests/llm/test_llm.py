@@ -598,3 +598,23 @@ def test_pipeline_against_brute_force(spark):
     for parts in held.values():
         parts.sort()
         assert all(a == sum(n for _, n in parts[:i]) for i, (a, _) in enumerate(parts)) and sum(n for _, n in parts) <= 2048
+
+
+def test_the_driver_keeps_no_encoder_for_the_ids_type():
+    from vellum.llm import tokens
+
+    held = dict(tokens._encoders)
+    tokens._encoders.clear()
+    try:
+        assert tokens.id_type(tokens.vocabulary_path()) == "<u2" and not tokens._encoders
+    finally:
+        tokens._encoders.update(held)
+
+
+def test_garbage_of_rounds_is_collected(spark, monkeypatch):
+    from vellum.llm import components as C
+
+    calls = []
+    monkeypatch.setattr(C, "tidy", calls.append)
+    links = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")
+    assert {(r.v, r.label) for r in C.components(links).collect()} == {(i, 0) for i in range(9)} and calls

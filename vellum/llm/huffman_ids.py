@@ -150,13 +150,14 @@ def parse_file(data: bytes) -> tuple[list[int | None], list[np.ndarray]]:
         long_first = np.argsort(-block_ids, kind="stable")
         to = (np.cumsum(block_ids) - block_ids)[long_first]
         pos, sizes = starts[long_first].copy(), block_ids[long_first]
-        wide = bits.astype(np.uint32)
+        # The four bytes from each byte on, so that a step looks up one number a block.
+        wide = np.zeros(len(bits), np.uint32)
+        for i in range(4):
+            wide[: len(bits) - i] |= bits[i:].astype(np.uint32) << np.uint32(24 - 8 * i)
         for step in range(int(sizes[0])):
             k = int(np.searchsorted(-sizes, -step, side="left"))  # blocks longer than step
             p = pos[:k]
-            b = p >> 3
-            peek = (wide[b] << np.uint32(24)) | (wide[b + 1] << np.uint32(16)) | (wide[b + 2] << np.uint32(8)) | wide[b + 3]
-            peek = (peek >> (32 - limit - (p & 7)).astype(np.uint32)) & np.uint32((1 << limit) - 1)
+            peek = (wide[p >> 3] >> (32 - limit - (p & 7)).astype(np.uint32)) & np.uint32((1 << limit) - 1)
             out[to[:k] + step] = symbols[peek]
             pos[:k] += taken[peek]
     cuts = np.cumsum(n_ids)[:-1] if len(n_ids) else n_ids

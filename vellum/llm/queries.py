@@ -45,12 +45,12 @@ def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vellum.llm.huffman_ids import read_ids, write_ids
-    from vellum.llm.tokens import encoder, vocabulary_path
+    from vellum.llm.tokens import encoder, id_type, vocabulary_path
 
     docs = table(spark, sf_dir, "documents")
     small_batches(spark)
     path = vocabulary_path()
-    kind = "<u4" if encoder(path).wide else "<u2"
+    kind = id_type(path)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
