@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -69,6 +70,12 @@ def materialize(df: DataFrame, tag: str, *, arrow_rows: int | None = None) -> Da
     return out
 
 
+def tidy(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, Python's first, as that refers to the JVM's: shuffle files, broadcast tables and generated classes go with what referred to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove written tables that nothing will read again."""
     for df in tables:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.common import discard, materialize
+from vellum.llm.common import discard, materialize, tidy
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,5 +27,6 @@ def components(links: DataFrame) -> DataFrame:
             break
         discard(edges)
         edges = after
+        tidy(links.sparkSession)
     stars = edges.select(F.col("u").alias("v"), F.col("v").alias("label"))
     return stars.union(stars.select(F.col("label").alias("v"), "label").distinct())

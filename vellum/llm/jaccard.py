@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellum.llm.common import ARROW_ROWS, discard, materialize, small_batches
+from vellum.llm.common import ARROW_ROWS, discard, materialize, small_batches, tidy
 from vellum.llm.components import components
 
 SHINGLE, PERCENT = 5, 80
@@ -258,6 +258,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     good = materialize(counts.where("n >= need").select("sid", "scheme", F.col("n").alias("words"), (F.col("h") > of(most)).alias("heavy")), "jaccard-good")
     members = materialize(shares.withColumn("scheme", scheme).join(good.hint(MERGE), ["sid", "scheme"]).where("heavy or not hot").select("word", "sid", "words"), "jaccard-members")
     discard(shares, good)
+    tidy(spark)
 
     # Centres, and each set against its best one.
     centres = members.groupBy("word").agg(F.max_by("sid", F.struct("words", "sid")).alias("c"), F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("word", "c")
@@ -283,6 +284,7 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
 
     links = materialize(verify(best), "jaccard-links")
     discard(best)
+    tidy(spark)
     labels = materialize(components(links), "jaccard-labels")
 
     # Words whose sets are in several components: their centres' groups.
@@ -294,13 +296,16 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     of_word = several.hint(MERGE).join(centres, "word").join(first.hint(MERGE), "c").select("word", F.col("middle").alias("c"))
     groups = materialize(members.join(of_word.hint(MERGE), "word").select("c", "sid").distinct(), "jaccard-groups")
     discard(members, centres)
+    tidy(spark)
     differences = materialize(from_centre(groups, contents, percent), "jaccard-differences")
     discard(groups)
+    tidy(spark)
     near = differences.where("near and c <> sid").select(F.least("c", "sid").alias("a"), F.greatest("c", "sid").alias("b")).distinct()
     links = materialize(links.union(near), "jaccard-links")
     labels = materialize(components(links), "jaccard-labels")
     last = materialize(beyond_centres(differences, labels, percent), "jaccard-last")
     discard(differences)
+    tidy(spark)
     links = materialize(links.union(verify(last)), "jaccard-links")
     labels = components(links).withColumnRenamed("v", "sid")
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from vellum.llm.common import fresh, materialize, table
+from vellum.llm.common import fresh, materialize, table, tidy
 from vellum.llm.jaccard import SHINGLE, jaccard_components, set_id, shingle_sets
 from vellum.llm.mixing import TARGETS, mixed_documents
 from vellum.llm.packing import pack, token_pieces
@@ -94,4 +94,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = materialize(docs, f"stage-{name}")
+            tidy(spark)
     return docs
