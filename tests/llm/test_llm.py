@@ -618,3 +618,18 @@ def test_garbage_of_rounds_is_collected(spark, monkeypatch):
     monkeypatch.setattr(C, "tidy", calls.append)
     links = spark.createDataFrame([(i, i + 1) for i in range(8)], "a long, b long")
     assert {(r.v, r.label) for r in C.components(links).collect()} == {(i, 0) for i in range(9)} and calls
+
+
+def test_new_links_join_components_without_new_rounds(spark, monkeypatch):
+    """Links added later give the labels of all links together, and links inside components start no rounds: each holds the driver's memory."""
+    import vellum.llm.components as C
+
+    made = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    of = lambda df: sorted((r.v, r.label) for r in df.collect())
+    rng = random.Random(5)
+    first, more = ([tuple(sorted(rng.sample(range(low, 90), 2))) for _ in range(30)] for low in (10, 0))
+    labels = C.components(made(first))
+    assert of(C.joined_components(labels, made(more))) == of(C.components(made(first + more)))
+    inside = [(v, label) for v, label in of(labels) if v != label] + [(5, 5)]
+    monkeypatch.setattr(C, "components", None)
+    assert of(C.joined_components(labels, made(inside))) == of(labels)

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellum.llm.common import ARROW_ROWS, discard, materialize, small_batches, tidy
-from vellum.llm.components import components
+from vellum.llm.components import components, joined_components
 
 SHINGLE, PERCENT = 5, 80
 #: Sets that share a word before it counts as hot; seeds; growth of size bands; bits of the parity sketch of the check; sets that meet one copy of their centre.
@@ -301,13 +301,11 @@ def jaccard_components(docs: DataFrame, *, text: str = "text", key: str = "doc_i
     discard(groups)
     tidy(spark)
     near = differences.where("near and c <> sid").select(F.least("c", "sid").alias("a"), F.greatest("c", "sid").alias("b")).distinct()
-    links = materialize(links.union(near), "jaccard-links")
-    labels = materialize(components(links), "jaccard-labels")
+    labels = joined_components(labels, near)
     last = materialize(beyond_centres(differences, labels, percent), "jaccard-last")
     discard(differences)
     tidy(spark)
-    links = materialize(links.union(verify(last)), "jaccard-links")
-    labels = components(links).withColumnRenamed("v", "sid")
+    labels = joined_components(labels, verify(last)).withColumnRenamed("v", "sid")
 
     named = ids.select("doc_id", "n", "sid").join(labels, "sid", "left").withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "sid")))
     named = materialize(named, "jaccard-named")
