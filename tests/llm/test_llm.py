@@ -213,6 +213,16 @@ def test_packing_solves_the_program():
         assert placed == Counter(h) and bound - 1e-6 <= count(plan) <= count(best_fit(h, 2048))
 
 
+def test_packing_holds_only_configurations_that_a_step_used():
+    from vellum.llm.packing import Program
+
+    lengths = np.clip(np.random.default_rng(5).lognormal(5.3, 0.9, 10_000).astype(int) + 1, 1, 2047)  # short texts: very many configurations are about as good
+    program = Program(Counter(lengths.tolist()), 2048)
+    amounts = program.whole_lengths()
+    assert len(amounts) == len(program.keys) <= len(program.lengths) and amounts.min() > 0
+    assert sum(at.nbytes + pieces.nbytes for at, pieces in program.parts) < 64 * 16 * len(program.lengths)  # at most 63 different lengths make up 2048
+
+
 def test_winnowing(spark, texts):
     from vellum.llm.winnowing import code_points, digest, likeness, winnow
 

@@ -121,8 +121,9 @@ class Program:
         self.capacity, self.lengths = capacity, np.array(sorted(histogram))
         self.demand = np.array([histogram[n] for n in self.lengths.tolist()], float)
         self.index = {n: i for i, n in enumerate(self.lengths.tolist())}
+        # Configurations that a step used; of each, the indexes of its lengths and how many pieces it has of them.
         self.keys: dict[tuple[tuple[int, int], ...], int] = {}
-        self.rows = np.zeros((64, len(self.lengths)))
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
         self.bound = 0.0
 
     def knapsack(self, weights: np.ndarray) -> Knapsack:
@@ -133,13 +134,15 @@ class Program:
     def row(self, configuration: Counter[int]) -> int:
         key = tuple(sorted(configuration.items()))
         if key not in self.keys:
-            i = self.keys[key] = len(self.keys)
-            if i == len(self.rows):
-                self.rows = np.vstack([self.rows, np.zeros_like(self.rows)])
-            for n, k in key:
-                self.rows[i, self.index[n]] = k
+            self.keys[key] = len(self.keys)
+            self.parts.append((np.array([self.index[n] for n, _ in key]), np.array([k for _, k in key], float)))
         return self.keys[key]
 
+    def flat(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The configurations' parts joined, and where each configuration's begin."""
+        sizes = np.array([len(at) for at, _ in self.parts])
+        return np.concatenate([at for at, _ in self.parts]), np.concatenate([k for _, k in self.parts]), np.cumsum(sizes) - sizes
+
     def whole_lengths(self) -> np.ndarray:
         """The first turn: each step covers what is left of some length. Of one table comes the best configuration with any given length."""
         weights, left = self.lengths / self.capacity, self.demand.copy()
@@ -157,25 +160,26 @@ class Program:
                     continue
                 found = table.configuration(self.capacity - int(self.lengths[i]))
                 found[int(self.lengths[i])] += 1
-                j = self.row(found)
-                on = self.rows[j] > 0
-                if (left[on] <= 0).any():
+                if any(left[self.index[n]] <= 0 for n in found):
                     continue
-                step = float((left[on] / self.rows[j, on]).min())
+                j = self.row(found)
+                at, pieces = self.parts[j]
+                step = float((left[at] / pieces).min())
                 amounts[j] = amounts.get(j, 0.0) + step
-                left[on] -= step * self.rows[j, on]
+                left[at] -= step * pieces
                 left[left < 1e-9] = 0.0
-                weights = weights * np.exp(-step * self.rows[j] / self.demand)
+                weights[at] *= np.exp(-step * pieces / self.demand[at])
         return np.array([amounts.get(j, 0.0) for j in range(len(self.keys))])
 
     def small_steps(self, size: float) -> np.ndarray:
         """A later turn: until all demand is covered several times, of which the first third is left out; scaled to cover it once."""
         weights, covered = self.lengths / self.capacity, np.zeros(len(self.lengths))
         goal = 3 * math.log(len(self.lengths) + 1) + 3
-        amounts, top, early, tables, steps = np.zeros(len(self.rows)), math.inf, None, 0, 0
+        amounts, top, early, tables, steps = np.zeros(len(self.keys)), math.inf, None, 0, 0
+        ats, pieces, starts = self.flat()
         while covered.min() < goal and steps < STEPS:
             steps += 1
-            worth = np.einsum("ij,j->i", self.rows[: len(self.keys)], weights)  # in one thread
+            worth = np.add.reduceat(weights[ats] * pieces, starts)
             j = int(worth.argmax())
             if worth[j] < (1 - size / 4) * top:  # weights only fall, so top is no less than the greatest price
                 if tables == TABLES:
@@ -185,18 +189,19 @@ class Program:
                 top = table.best[self.capacity]
                 self.bound = max(self.bound, float(weights @ self.demand) / top)
                 j = self.row(table.configuration(self.capacity))
-                amounts = np.pad(amounts, (0, len(self.rows) - len(amounts)))
-            on = self.rows[j] > 0
-            step = size * float((self.demand[on] / self.rows[j, on]).min())
+                if j == len(amounts):
+                    amounts, (ats, pieces, starts) = np.append(amounts, 0.0), self.flat()
+            at, each = self.parts[j]
+            step = size * float((self.demand[at] / each).min())
             amounts[j] += step
-            share = step * self.rows[j] / self.demand
-            covered += share
-            weights = weights * np.exp(-share)
+            share = step * each / self.demand[at]
+            covered[at] += share
+            weights[at] *= np.exp(-share)
             if early is None and covered.min() >= goal / 3:
                 early = amounts.copy(), covered.copy()
         if early is not None:
             amounts, covered = amounts - np.pad(early[0], (0, len(amounts) - len(early[0]))), covered - early[1]
-        return amounts[: len(self.keys)] / max(float(covered.min()), 1.0)
+        return amounts / max(float(covered.min()), 1.0)
 
     def rounded(self, amounts: np.ndarray) -> list[tuple[dict[int, int], int]]:
         """Whole numbers of configurations that place the demand exactly: the amounts rounded down, the rest by best fit."""
