@@ -120,6 +120,39 @@ def test_token_ids_and_files(spark, texts):
         assert keys == [None, *range(1, 20)] and all((a == b).all() for a, b in zip(docs, back, strict=True))
 
 
+def test_known_chunks_are_found_once_and_hashed_by_eight_bytes():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    from vellum.llm.tokens import Encoder, chunk_starts, vocabulary_path
+
+    plain, encode, rng = Tokenizer.from_file(vocabulary_path()), Encoder(vocabulary_path()), random.Random(2)
+    # Long chunks of which few bytes differ, at any place, and such as are another's beginning.
+    long = ["".join(rng.choice("ab\0") for _ in range(n)) for n in (7, 8, 9, 15, 16, 17, 63, 64, 65, 66, 130, 300)]
+    long += [t[:i] + "c" + t[i + 1 :] for t in long for i in range(0, len(t), 3)] + [t[:-1] for t in long] + [t + "\0" for t in long]
+    for _ in range(2):
+        rng.shuffle(long)
+        made = [" ".join(long[i : i + 7]) for i in range(0, len(long), 7)]
+        for t, ids in zip(made, encode.encode_batch(made), strict=True):
+            assert list(ids) == plain.encode(t, add_special_tokens=False).ids
+    asked, find = [], encode._find
+    encode._find = lambda keys, checks: asked.append(len(keys)) or find(keys, checks)
+    words = " ".join(["word"] * 1000)
+    encode.encode_batch([words])
+    asked.clear()
+    encode.encode_batch([words + " unseen"])
+    assert asked == [1001, 1]
+    data = np.frombuffer((words * 100).encode(), np.uint8)
+    starts = chunk_starts(data, np.zeros(1, np.int64))
+    tracemalloc.start()
+    try:
+        encode._hashes(data, starts, np.diff(np.append(starts, len(data))))
+        assert tracemalloc.get_traced_memory()[1] < 20 * len(data)  # a number for each byte and each step would be more
+    finally:
+        tracemalloc.stop()
+
+
 def test_packing(spark, texts):
     from vellum.llm.packing import best_fit, solve
     from vellum.llm.tokens import encoder, vocabulary_path

@@ -53,33 +53,52 @@ def _is(*parts: bytes) -> np.ndarray:
     return out
 
 
-_ALNUM = _is(bytes(range(48, 58)), bytes(range(65, 91)), bytes(range(97, 123)))
-_SEEN = _is(bytes(range(33, 127)))  # visible ASCII
-_NEXT = _SEEN | (np.arange(256) >= 0xC3) & ~np.isin(np.arange(256), (0xE1, 0xE2, 0xE3))  # begins a character that is no white space
-_MARK = _is(b".,")
-
-
-def _random(n: int, seed: int) -> np.ndarray:
-    x = np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed)
+#: What a byte is, as bits: a letter or digit; visible ASCII; the beginning of a character that is no white space; a mark; a space; a line end; first of two bytes of a Latin letter, and second.
+_ALNUM, _SEEN, _NEXT, _MARK, _BLANK, _END, _LATIN, _SECOND = (np.uint8(1 << i) for i in range(8))
+_BITS = np.zeros(256, np.uint8)
+for _bit, _of in (
+    (_ALNUM, _is(bytes(range(48, 58)), bytes(range(65, 91)), bytes(range(97, 123)))),
+    (_SEEN, _is(bytes(range(33, 127)))),
+    (_NEXT, _is(bytes(range(33, 127)), bytes(x for x in range(0xC3, 256) if x not in (0xE1, 0xE2, 0xE3)))),
+    (_MARK, _is(b".,")),
+    (_BLANK, _is(b" ")),
+    (_END, _is(b"\n")),
+    (_LATIN, _is(b"\xc3")),
+    (_SECOND, _is(bytes(x for x in range(0x80, 256) if x not in (0x97, 0xB7)))),
+):
+    _BITS[_of] |= _bit
+_CLASS = _BITS.tobytes()
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
     return x ^ (x >> _U(31))
 
 
+def _random(n: int, seed: int) -> np.ndarray:
+    return _mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(seed))
+
+
 _BYTE = _random(256, 1), _random(256, 2)
+#: Masks of a number's first bytes; bytes of a chunk that are hashed eight at a time.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
+EIGHTS = 64
 
 
 def chunk_starts(data: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """First bytes of chunks; docs: first bytes of documents that aren't empty."""
     cut = np.zeros(len(data), bool)
-    before, here, after = data[:-2], data[1:-1], data[2:]
-    cut[1:-1] = (here == 32) & _NEXT[after] | (here == 10) & _SEEN[before] & _NEXT[after]
-    letter = _ALNUM[data]
-    letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
-    cut[1:] |= _MARK[data[1:]] & letter[:-1]
+    kind = np.frombuffer(data.tobytes().translate(_CLASS), np.uint8)
+    before, here, after = kind[:-2], kind[1:-1], kind[2:]
+    cut[1:-1] = ((here & _BLANK != 0) | (here & _END != 0) & (before & _SEEN != 0)) & (after & _NEXT != 0)
+    letter = kind & _ALNUM != 0
+    letter[1:] |= (kind[:-1] & _LATIN != 0) & (kind[1:] & _SECOND != 0)
+    mark = kind & _MARK != 0
+    cut[1:] |= mark[1:] & letter[:-1]
     # Nothing is known of what is beside a document's ends.
     first = docs[docs + 1 < len(data)]
-    cut[first[1:] - 1] &= _MARK[data[first[1:] - 1]]
+    cut[first[1:] - 1] &= mark[first[1:] - 1]
     cut[docs] = True
     return np.flatnonzero(cut)
 
@@ -112,12 +131,30 @@ class Encoder:
         self.at, self.size = np.zeros(SLOTS // 2 + 1, np.int64), np.zeros(SLOTS // 2 + 1, np.int32)
         self.pool = np.zeros(1 << 20, self.kind)
 
-    def _hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        longest = int(sizes.max())
-        if len(self.power[0]) < longest:
-            self.power = [_random(2 * longest, 3) | _U(1), _random(2 * longest, 4) | _U(1)]
-        place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, sizes)
-        return [np.add.reduceat(b[data] * p[place], starts) ^ sizes.astype(_U) * _U(0x9E3779B97F4A7C15) for b, p in zip(_BYTE, self.power, strict=True)]
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each chunk: by eight bytes at a time, and what is beyond ``EIGHTS`` bytes by each byte and its place."""
+        eights = np.frombuffer(data.tobytes() + bytes(16 - len(data) % 8), "<u8")
+        keys = sizes.astype(_U) * _U(0x9E3779B97F4A7C15)
+        checks = ~keys
+        some, at, left = slice(None), starts, sizes
+        for _ in range(EIGHTS // 8):
+            i, shift = at >> 3, ((at & 7) << 3).astype(_U)
+            word = (eights[i] >> shift | eights[i + 1] << _U(1) << _U(63) - shift) & _FIRST[np.minimum(left, 8)]
+            key, check = (keys[some] ^ word) * _U(0xBF58476D1CE4E5B9), (checks[some] + word) * _U(0x94D049BB133111EB)
+            keys[some], checks[some] = key ^ (key >> _U(32)), check ^ (check >> _U(29))
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                break
+            some, at, left = more if isinstance(some, slice) else some[more], at[more] + 8, left[more] - 8
+        else:
+            if (longest := int(left.max())) > len(self.power[0]):
+                self.power = [_random(2 * longest, 3) | _U(1), _random(2 * longest, 4) | _U(1)]
+            first = np.cumsum(left) - left
+            place = np.arange(int(left.sum())) - np.repeat(first, left)
+            rest = data[np.repeat(at, left) + place]
+            keys[some] ^= np.add.reduceat(_BYTE[0][rest] * self.power[0][place], first)
+            checks[some] ^= np.add.reduceat(_BYTE[1][rest] * self.power[1][place], first)
+        return _mix(keys), checks
 
     def _raw(self, chunks: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
@@ -226,7 +263,8 @@ class Encoder:
             new, first = np.unique(keys[~found], return_index=True)
             first = np.flatnonzero(~found)[first]
             self._learn(blob, starts[first], sizes[first], new, checks[first])
-            i, found = self._find(keys, checks)
+            late = np.flatnonzero(~found)
+            i[late], found[late] = self._find(keys[late], checks[late])
         at, n = self.at[i], self.size[i]
         if not found.all():  # equal keys of different chunks
             odd = np.flatnonzero(~found)
