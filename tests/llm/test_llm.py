@@ -120,6 +120,76 @@ def test_token_ids_and_files(spark, texts):
         assert keys == [None, *range(1, 20)] and all((a == b).all() for a, b in zip(docs, back, strict=True))
 
 
+def test_token_ids_have_few_files_of_sparks(spark, tmp_path, monkeypatch):
+    """For each file that Spark writes, the executor's JVM starts commands, whose processes are as large as the JVM for a moment."""
+    from vellum.llm import huffman_ids as H
+    from vellum.llm import queries as Q
+
+    monkeypatch.setattr(H, "RANGE_IDS", 200)
+    made, keep, by_spark = [], H.materialize, []
+    monkeypatch.setattr(H, "materialize", lambda df, tag, **more: made.append(keep(df, tag, **more)) or made[-1])
+    monkeypatch.setattr(Q, "materialize", lambda df, tag, **more: by_spark.append(tag) or keep(df, tag, **more))
+    rows = [(i, f"text of document {i}, with a few words. " * (1 + i % 3)) for i in range(400)] + [(None, None), (7, "again")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    Q.op7_token_ids(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert made[0].count() > 20 and len(made[0].inputFiles()) <= 4  # the tests' shuffle partitions
+    assert len(list((tmp_path / "out").glob("*.parquet"))) <= spark.sparkContext.defaultParallelism and not by_spark
+    out = sorted(pq.read_table(f"{tmp_path}/out").to_pylist(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in out] == [None, *sorted([*range(400), 7])] and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:]))
+
+
+def test_ids_are_coded_several_at_once():
+    """The bits are those of each id's code in turn, in less memory than numbers of eight bytes for each step and id take."""
+    import tracemalloc
+
+    from vellum.llm import huffman_ids as H
+
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 50000):
+        c = np.floor(rng.pareto(1, n) * 10).astype(np.int64) + 1
+        lengths = H.code_lengths(c)
+        codes = H.canonical_codes(lengths)
+        docs = [rng.choice(n, k, p=c / c.sum()).astype(np.uint16) for k in (0, 1, 2, 3, 4, 0, 511, 512, 513, 1024, 1537, 0)]
+        for d, (data, blocks) in zip(docs, H.encode_docs(docs, lengths, codes), strict=True):
+            bits = "".join(f"{int(codes[i]):0{lengths[i]}b}" for i in d)
+            assert data == int((bits + "0" * (-len(bits) % 8)) or "0", 2).to_bytes(-(-len(bits) // 8), "big")
+            assert blocks.dtype == np.uint16 and blocks.tolist() == [int(lengths[d[i : i + H.BLOCK_IDS]].astype(int).sum()) for i in range(0, len(d), H.BLOCK_IDS)]
+    docs = [rng.choice(n, 1000).astype(np.uint16) for _ in range(200)]
+    tracemalloc.start()
+    try:
+        H.encode_docs(docs, lengths, codes)
+        assert tracemalloc.get_traced_memory()[1] < 50 * 200_000
+    finally:
+        tracemalloc.stop()
+
+
+def test_what_workers_wrote_is_read_once(spark):
+    """Files that no finished task names don't count; tasks without rows have no file."""
+    import pyarrow as pa
+
+    from vellum.llm.common import materialize_arrow
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"x" * 3000] * batch.num_rows, pa.binary())], names=["key", "ids"])
+            yield batch.slice(0, 0)
+        if TaskContext.get().partitionId() > 1:
+            return
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([b""], pa.binary())], names=["key", "ids"])
+
+    df = spark.range(0, 6000, 1, 3)
+    got = materialize_arrow(df, run, "key long, ids binary", "test")
+    files = got.inputFiles()
+    assert len(files) == 3 and got.count() == 6002 and got.where("key is null and length(ids) = 0").count() == 2 and got.where("length(ids) = 3000").count() == 6000
+    with open(files[0].removeprefix("file:").replace("//", "/").rsplit("/", 1)[0] + "/part-lost.parquet", "w") as f:
+        f.write("torn")
+    assert got.count() == 6002
+    none = materialize_arrow(df, lambda batches: (batch for batch in batches if batch.num_rows < 0), "key long, ids binary", "test")
+    assert none.count() == 0 and none.columns == ["key", "ids"]
+
+
 def test_known_chunks_are_found_once_and_hashed_by_eight_bytes():
     import tracemalloc
 

@@ -6,10 +6,12 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import Any
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +72,41 @@ def materialize(df: DataFrame, tag: str, *, arrow_rows: int | None = None) -> Da
     return out
 
 
+def materialize_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, tag: str) -> DataFrame:
+    """df.mapInArrow(run, schema) as Parquet files that the Python workers write in the shared folder, read again.
+
+    Rows don't pass through the executor's JVM, and it writes no files: for a file on a local disk Hadoop starts several commands
+    (chmod), and while one starts, its process has the JVM's memory, so it may be counted twice. Only files that the row of a
+    finished task names are read: what a lost or repeated task leaves doesn't count.
+    """
+    spark = df.sparkSession
+    folder, fields = scratch(spark, tag), arrow_schema(spark, schema)
+    make_dir(folder)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        made = (pa.RecordBatch.from_arrays(batch.columns, schema=fields) for batch in run(batches) if batch.num_rows)
+        if (first := next(made, None)) is None:
+            return
+        fs, root = open_fs(folder)
+        name = f"part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.parquet"
+        with fs.open_output_stream(f"{root}/{name}") as f, pq.ParquetWriter(f, fields, compression="zstd", compression_level=3, use_dictionary=False, write_statistics=False) as writer:
+            held, size = [], 0
+            for batch in chain([first], made):
+                held.append(batch)
+                size += batch.nbytes
+                if size >= ARROW_BYTES:
+                    writer.write_table(pa.Table.from_batches(held))
+                    held, size = [], 0
+            if held:
+                writer.write_table(pa.Table.from_batches(held))
+        yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"]})
+
+    paths = sorted(r.path for r in df.mapInArrow(write, "path string").collect())  # a row a task
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def tidy(spark: SparkSession) -> None:
     """Have the driver collect its garbage, Python's first, as that refers to the JVM's: shuffle files, broadcast tables and generated classes go with what referred to them."""
     gc.collect()

@@ -30,6 +30,8 @@ from vellum.llm.common import arrow_schema, make_dir, materialize, open_fs, rang
 MAGIC = b"VHID0001"
 #: Ids of a block, longest code in bits (a power of two of table entries), ids of a range of keys, on average, and bytes after which a range's next file begins.
 BLOCK_IDS, MAX_BITS, RANGE_IDS, FILE_BYTES = 512, 18, 2_000_000, 32 << 20
+#: Ids that a task decodes, on average, file by file.
+TASK_IDS = 16_000_000
 
 WRITTEN = "bucket int, seq int, path string, n_docs long, n_ids long, n_bytes long"
 
@@ -91,27 +93,33 @@ def encode_docs(docs: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray)
     sizes = np.array([len(d) for d in docs], np.int64)
     if not sizes.sum():
         return [(b"", np.zeros(0, np.uint16)) for _ in docs]
-    ids = np.concatenate(docs)
-    bits = lengths[ids].astype(np.int64)
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    run = np.concatenate([[0], np.cumsum(bits)])
+    # Three ids are placed at once; one more symbol, without bits, fills a document's last three.
+    none = len(lengths)
+    fill = [np.full(n, none, np.uint32) for n in range(3)]
+    ids = np.concatenate([x for d in docs for x in (d, fill[-len(d) % 3])])
+    first = np.concatenate([[0], np.cumsum((sizes + 2) // 3)])
+    bits, code = np.append(lengths, np.uint8(0))[ids], np.append(codes, np.uint64(0))[ids]
+    size = bits[0::3] + bits[1::3] + bits[2::3]
+    code = (code[0::3] << bits[1::3] | code[1::3]) << bits[2::3] | code[2::3]
+    run = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
     total = run[first[1:]] - run[first[:-1]]
     n_bytes = (total + 7) // 8
     byte_at = np.concatenate([[0], np.cumsum(n_bytes)])
-    pos = run[:-1] + np.repeat(byte_at[:-1] * 8 - run[first[:-1]], sizes)
+    pos = run[:-1] + np.repeat(byte_at[:-1] * 8 - run[first[:-1]], np.diff(first))
     words = np.zeros(int(byte_at[-1]) // 8 + 2, np.uint64)
-    code, word = codes[ids], pos >> 6
-    shift = 64 - (pos & 63) - bits
-    for value, at in ((np.where(shift >= 0, code << np.maximum(shift, 0).astype(np.uint64), code >> np.maximum(-shift, 0).astype(np.uint64)), word), (code[cross] << (64 + shift[cross]).astype(np.uint64), word[cross] + 1) if (cross := shift < 0).any() else (code[:0], word[:0])):
+    word = pos >> 6
+    shift = 64 - (pos & 63) - size
+    cross = shift < 0
+    for value, at in ((np.where(cross, code >> np.maximum(-shift, 0).astype(np.uint64), code << np.maximum(shift, 0).astype(np.uint64)), word), (code[cross] << (64 + shift[cross]).astype(np.uint64), word[cross] + 1)):
         if len(at):
             starts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-            words[at[starts]] |= np.add.reduceat(value, starts)
+            words[at[starts]] |= np.bitwise_or.reduceat(value, starts)
     data = words.byteswap().tobytes()
-    out = []
-    for i, n in enumerate(sizes.tolist()):
-        edges = run[np.append(np.arange(first[i], first[i + 1], BLOCK_IDS), first[i + 1])] if n else np.zeros(1, np.int64)
-        out.append((data[byte_at[i] : byte_at[i + 1]], np.diff(edges).astype(np.uint16)))
-    return out
+    n_blocks = (sizes + BLOCK_IDS - 1) // BLOCK_IDS
+    ends = np.cumsum(n_blocks)
+    edges = np.repeat(3 * first[:-1], n_blocks) + BLOCK_IDS * (np.arange(int(ends[-1])) - np.repeat(ends - n_blocks, n_blocks))
+    blocks = np.add.reduceat(bits, edges, dtype=np.uint16)
+    return [(data[a:b], blocks[c - n : c]) for a, b, c, n in zip(byte_at[:-1].tolist(), byte_at[1:].tolist(), ends.tolist(), n_blocks.tolist(), strict=True)]
 
 
 def file_bytes(lengths: np.ndarray, docs: list[tuple[int | None, int, bytes, np.ndarray]]) -> bytes:
@@ -237,7 +245,9 @@ def write_ids(ids: DataFrame, kind: str = "<u2", *, out_dir: str | None = None)
     arrow_schema_written = arrow_schema(spark, WRITTEN)
     coded = ids.select("key", "ids").mapInArrow(encode, "bucket int, key long, n_ids long, bits binary, blocks binary")
     dealt = coded.repartition(ranges, "bucket").sortWithinPartitions("bucket", F.col("key").asc_nulls_first(), "bits")
-    return materialize(dealt.mapInArrow(write, WRITTEN), "vhid-files"), folder
+    # The few rows of all tasks share files of Spark's (see materialize_arrow). They meet by their range: a repeated task names
+    # other files, and rows of both runs must not be dealt twice.
+    return materialize(dealt.mapInArrow(write, WRITTEN).repartition("bucket"), "vhid-files"), folder
 
 
 def read_ids(written: DataFrame) -> DataFrame:
@@ -249,7 +259,9 @@ def read_ids(written: DataFrame) -> DataFrame:
         base[r.bucket], total, n_files = total, total + r.n, n_files + r.files
     before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = written.withColumn("before", before).select("path", "bucket", "before")
-    files = files.repartition(max(1, n_files), "path")
+    # Whoever writes the ids has a file of Spark's for each task (see materialize_arrow), so a task takes several files, neighbours in order.
+    tasks = min(n_files, max(spark.sparkContext.defaultParallelism, total // TASK_IDS))
+    files = files.repartitionByRange(max(1, tasks), "bucket", "before")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm.common import materialize, small_batches, table
+from vellum.llm.common import materialize, materialize_arrow, small_batches, table
 
 
 def op1_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,7 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
             made = [ids.astype(kind).tobytes() + bytes(int(kind[-1])) for ids in encoder(path).encode_batch([t or "" for t in batch.column(1).to_pylist()])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["key", "ids"])
 
-    ids = materialize(docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")).mapInArrow(encode, "key long, ids binary"), "ids")
+    ids = materialize_arrow(docs.select(F.col("doc_id").cast("long").alias("key"), F.col("text").cast("string").alias("text")), encode, "key long, ids binary", "ids")
     written, _ = write_ids(ids, kind)
     return read_ids(written).select(F.col("key").alias("doc_id"), "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
