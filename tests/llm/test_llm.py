@@ -122,6 +122,8 @@ def test_token_ids_and_files(spark, texts):
 
 def test_token_ids_have_few_files_of_sparks(spark, tmp_path, monkeypatch):
     """For each file that Spark writes, the executor's JVM starts commands, whose processes are as large as the JVM for a moment."""
+    from pyspark.sql import functions as F
+
     from vellum.llm import huffman_ids as H
     from vellum.llm import queries as Q
 
@@ -134,6 +136,17 @@ def test_token_ids_have_few_files_of_sparks(spark, tmp_path, monkeypatch):
     Q.op7_token_ids(spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
     assert made[0].count() > 20 and len(made[0].inputFiles()) <= 4  # the tests' shuffle partitions
     assert len(list((tmp_path / "out").glob("*.parquet"))) <= spark.sparkContext.defaultParallelism and not by_spark
+    # However many partitions there are, as many tasks have files, unless a range is long.
+    frame = type(spark.range(0))
+    deal = frame.repartitionByRange
+    monkeypatch.setattr(frame, "repartitionByRange", lambda self, n, *cols: deal(self, max(n, 30), *cols))
+    tasks = lambda: H.read_ids(made[0]).select(F.spark_partition_id()).distinct().count()
+    assert tasks() <= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(H, "FILE_BYTES", 200)
+    monkeypatch.setattr(H, "TASK_IDS", 1000)
+    ids = spark.range(200).select(F.lit(5).cast("long").alias("key"), F.unhex(F.lit("0102" * 50)).alias("ids"))
+    made[:] = [H.write_ids(ids)[0]]
+    assert made[0].select("bucket").distinct().count() == 1 and 8 <= tasks() <= 12
     out = sorted(pq.read_table(f"{tmp_path}/out").to_pylist(), key=lambda r: r["start"])
     assert [r["doc_id"] for r in out] == [None, *sorted([*range(400), 7])] and all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(out, out[1:]))
 

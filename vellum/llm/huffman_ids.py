@@ -259,9 +259,10 @@ def read_ids(written: DataFrame) -> DataFrame:
         base[r.bucket], total, n_files = total, total + r.n, n_files + r.files
     before = F.coalesce(F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = written.withColumn("before", before).select("path", "bucket", "before")
-    # Whoever writes the ids has a file of Spark's for each task (see materialize_arrow), so a task takes several files, neighbours in order.
-    tasks = min(n_files, max(spark.sparkContext.defaultParallelism, total // TASK_IDS))
-    files = files.repartitionByRange(max(1, tasks), "bucket", "before")
+    # Whoever writes the ids has a file of Spark's for each task (see materialize_arrow), so a task takes several files, neighbours
+    # in order: the files of neighbouring ranges, and of a long range those of about TASK_IDS ids.
+    tasks = max(1, min(n_files, max(spark.sparkContext.defaultParallelism, total // TASK_IDS)))
+    files = files.repartitionByRange(tasks, (F.col("bucket") * tasks / (max(base, default=0) + 1)).cast("long"), (F.col("before") / TASK_IDS).cast("long"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
